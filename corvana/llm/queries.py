@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvana.llm import near_copies, site_lines
+from corvana.llm import bins, levels, main_text, mixing, near_copies, pieces, site_lines, subjects
 from corvana.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,22 @@ def _over(name: str, fn: Callable[..., DataFrame], *more: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": _over("articles", main_text.furniture_lines),
+        "p1_stories": _over("articles", main_text.stories),
+        "p2_found": _over("articles", subjects.subjects, "article_labels", "subject_areas"),
+        "p2_shares": _over("articles", subjects.shares, "article_labels", "subject_areas"),
         "p3_found": _over("articles", near_copies.pairs),
         "p3_classes": _over("articles", near_copies.classes),
         "p4_found": _over("articles", site_lines.repeated_lines),
         "p4_clean": _over("articles", site_lines.without_repeated_lines),
+        "p5_found": _over("articles", pieces.boundaries),
+        "p5_pieces": _over("articles", pieces.cut),
+        "p7_containers": _over("documents", bins.packed),
+        "p7_report": _over("documents", bins.report),
+        "p8_uses": _over("documents", mixing.uses, "mix_targets"),
+        "p8_shares": _over("documents", mixing.shares, "mix_targets"),
+        "p9_found": _over("documents", levels.levels, "document_levels"),
+        "p9_profile": _over("documents", levels.profile, "document_levels"),
     }
 
 
