@@ -4,8 +4,8 @@ A text's three-word shingle set becomes a fingerprint of `slots` 16-bit position
 under one hash order; two fingerprints differ in a position with the probability 1 - Jaccard, so their Hamming
 distance (in positions) measures the similarity. The fingerprint is split into `slots / width` blocks. A pair
 that differs in fewer positions than there are blocks must agree in a whole block (pigeonhole); one that differs
-in more still does unless the differences hit every block: at Jaccard 0.7 and the default 160 positions in
-blocks of 4 that is (1 - 0.7^4)^40 = 2e-5. Pairs that share a block are verified by Hamming distance (bound: 5.5
+in more still does unless the differences hit every block: at Jaccard 0.7 and the default 128 positions in
+blocks of 4 that is (1 - 0.7^4)^32 = 1.5e-4 at the limit itself and vanishes quickly above it. Pairs that share a block are verified by Hamming distance (bound: 5.5
 standard deviations beyond the mean at the limit), and then exactly on the shingle sets.
 
 Texts with equal shingle sets form one class before any join, so a group of copies costs one row per member.
@@ -97,8 +97,8 @@ def _texts(articles: DataFrame) -> DataFrame:
     return articles.select(F.col("id").alias("id"), F.coalesce(content, F.col("title")).alias("text")).where("id is not null and text is not null")
 
 
-def signed(texts: DataFrame, n: int, slots: int, width: int) -> DataFrame:
-    """(id, c1, c2, size, fp, blocks): class key (128 bits of the sorted set), set size, fingerprint, block hashes."""
+def signed(texts: DataFrame, n: int, slots: int) -> DataFrame:
+    """(id, c1, c2, size, fp): class key (128 bits of the sorted set), set size, fingerprint."""
 
     def sign(state, cols):
         sets = shingle_sets(cols["text"], state, n)
@@ -107,15 +107,14 @@ def signed(texts: DataFrame, n: int, slots: int, width: int) -> DataFrame:
             return None
         sets = [sets[i] for i in keep]
         fps = fingerprints(sets, slots)
-        blocks = np.ascontiguousarray(fps.reshape(len(sets), slots // width, width)).view(np.uint64 if width == 4 else np.uint32)
         digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
         half, sign64 = (1 << 64) - 1, lambda x: x - (1 << 64) if x >> 63 else x
         return {
             "id": [cols["id"][i] for i in keep], "c1": [sign64(d >> 64) for d in digests], "c2": [sign64(d & half) for d in digests],
-            "size": [len(s) for s in sets], "fp": [r.tobytes() for r in fps], "blocks": list(blocks.reshape(len(sets), -1).astype(np.int64)),
+            "size": [len(s) for s in sets], "fp": [r.tobytes() for r in fps],
         }
 
-    return map_batches(texts, sign, "id long, c1 long, c2 long, size int, fp binary, blocks array<long>", _Hashes)
+    return map_batches(texts, sign, "id long, c1 long, c2 long, size int, fp binary", _Hashes)
 
 
 def _hamming(pairs: DataFrame, slots: int, limit: int) -> DataFrame:
@@ -128,20 +127,24 @@ def _hamming(pairs: DataFrame, slots: int, limit: int) -> DataFrame:
     return map_batches(pairs, check, "a long, b long", rows=8000)
 
 
-def similar(articles: DataFrame, limit: float = 0.7, n: int = 3, slots: int = 160, width: int = 4) -> tuple[DataFrame, DataFrame]:
+def similar(articles: DataFrame, limit: float = 0.7, n: int = 3, slots: int = 128, width: int = 4) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) puts every text into the class of its shingle set, named by its
-    smallest id; links (a, b, jaccard), a < b, are all pairs of representatives at or above `limit`."""
+    smallest id; links (a, b, jaccard), a < b, are all pairs of representatives at or above `limit`.
+
+    Small intermediate tables are written before they are joined, so that the planner knows their sizes and leaves
+    the wide sides unshuffled as long as the small ones are within its broadcast threshold."""
     texts = _texts(articles)
-    sig = stored(signed(texts, n, slots, width), "fingerprints")
+    sig = stored(signed(texts, n, slots), "fingerprints")
     one = sig.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("c")).select("id", "c.c1", "c.c2")  # one row an article
-    heads = one.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
+    heads = stored(one.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "heads")
     members = stored(one.join(heads, ["c1", "c2"]).select("id", "rep"), "members")
-    reps = members.where("id = rep").select("rep")
-    rsig = sig.join(reps, sig["id"] == reps["rep"], "left_semi").dropDuplicates(["id"])
+    fp = sig.join(heads.withColumnRenamed("rep", "id"), ["id", "c1", "c2"], "left_semi").groupBy("id").agg(F.any_value("fp").alias("fp"), F.any_value("size").alias("size"))
+    fp = stored(fp, "representatives")
 
-    side = rsig.select(F.col("id"), F.posexplode("blocks").alias("no", "block")).select("id", F.xxhash64("no", "block").alias("block"))
+    no = F.explode(F.sequence(F.lit(0), F.lit(slots // width - 1))).alias("no")
+    side = fp.select("id", "fp", no).select("id", F.xxhash64("no", F.expr(f"substring(fp, no * {2 * width} + 1, {2 * width})")).alias("block"))
     found = side.alias("x").join(side.alias("y"), "block").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    fp = rsig.select("id", "fp", "size")
+    found = stored(found, "candidates")
     far = int(slots * (1 - limit) + 5.5 * (slots * limit * (1 - limit)) ** 0.5)
     x, y = fp.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("size").alias("na")), fp.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"))
     near = found.join(x, "a").join(y, "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(limit - 1e-9))
@@ -151,7 +154,7 @@ def similar(articles: DataFrame, limit: float = 0.7, n: int = 3, slots: int = 16
         got = shingle_sets(cols["text"], state, n)
         return {"id": cols["id"], "shingles": [s.tobytes() for s in got]}
 
-    need = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    need = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
     chosen = texts.join(need, "id", "left_semi").dropDuplicates(["id"])
     full = stored(map_batches(chosen, sets, "id long, shingles binary", _Hashes), "shingles")
 
