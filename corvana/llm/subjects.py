@@ -136,7 +136,7 @@ def about(flat, ends, h, w, k: int, enough: float, lead: float) -> list[np.ndarr
     return out
 
 
-def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: float = 0.002, background: int = 3, rounds: int = 4, steps: int = 4, enough: float = 1.0, lead: float = 0.5, most_labels: int = 20_000) -> DataFrame:
+def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: float = 0.005, background: int = 3, rounds: int = 3, steps: int = 3, enough: float = 1.0, lead: float = 0.7, most_labels: int = 20_000) -> DataFrame:
     """(article_id, subject): every subject with at least `share` of an article's sentences about any subject."""
     spark = articles.sparkSession
     codes = sorted({r[0] for r in areas.select("subject").where("subject is not null").distinct().limit(63).collect()})  # the fixed list of areas
@@ -180,7 +180,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
                 state.x[t[at]] += np.add.reduceat((h[row] * (ratio * weight[row])[:, None])[order], at, axis=0)
             return None
 
-        got = map_batches(matrix, step, "term int, x array<double>", Sums)
+        got = map_batches(matrix, step, "term int, x array<double>", Sums, rows=400)
         by = got.groupBy("term").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k + background)])
         out = np.zeros((v, k + background))
         for r in by.collect():  # one row per term
@@ -219,7 +219,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
             subs += [codes[j] for j in mine]
         return {"article_id": ids, "subject": subs} if ids else None
 
-    return map_batches(matrix, name, "article_id long, subject string").distinct()
+    return map_batches(matrix, name, "article_id long, subject string", rows=400).distinct()
 
 
 def shares(articles: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
