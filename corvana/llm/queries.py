@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvana.llm import bins, levels, main_text, mixing, near_copies, pieces, site_lines, subjects
+from corvana.llm import bins, levels, main_text, mixing, names, near_copies, pieces, site_lines, subjects
 from corvana.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "p4_clean": _over("articles", site_lines.without_repeated_lines),
         "p5_found": _over("articles", pieces.boundaries),
         "p5_pieces": _over("articles", pieces.cut),
+        "p6_found": _over("graph_entities", names.variant_pairs, "short_forms"),
+        "p6_entities": _over("graph_entities", names.entities_of, "short_forms"),
         "p7_containers": _over("documents", bins.packed),
         "p7_report": _over("documents", bins.report),
         "p8_uses": _over("documents", mixing.uses, "mix_targets"),
