@@ -6,7 +6,7 @@ that language; document frequencies cover the whole corpus, and the list's size
 distinct words of a document divided by that share. The share and the weights of the formula are fitted on a bounded
 sample of labelled documents (`most_labels`, in the order of a seeded hash), by language where there are enough.
 
-The language is decided from the text (the share of letters with Vietnamese marks), as the column may be null or wrong.
+The language is decided from the text (the share of characters beyond ASCII), as the column may be null or wrong.
 
 Defined results: null, empty and wordless texts have the features 0 and get the level these give; rows repeated under
 one id give one row (the highest level, should texts differ); null ids are ignored; without labels every level is 3;
@@ -27,44 +27,64 @@ from corvana.functions.arrow import map_batches
 
 LISTS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7)
 _WORD = re.compile(r"[^\W\d_]+")
-_STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|\n+")
-_MARKED = re.compile("[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]")
-
-
-def parsed(text: str | None) -> tuple[str, list[str], float]:
-    """(language, words, words per sentence)."""
-    text = text or ""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    text = text.lower()
-    words = _WORD.findall(text)
-    if not words:
-        return "?", words, 0.0
-    marked = sum(1 for w in words if not w.isascii() and _MARKED.search(w))
-    sentences = 0
-    at = 0
-    for m in _STOP.finditer(text):  # an empty stretch between two ends is no sentence
-        sentences += _WORD.search(text, at, m.start()) is not None
-        at = m.end()
-    sentences += _WORD.search(text, at) is not None
-    return "vi" if marked > 0.2 * len(words) else "en", words, len(words) / max(1, sentences)
+_CLOSED = re.compile(r"[.!?…]+[\"'”’»)\]]*$")
+
+
+def language(text: str) -> str:
+    """'vi' where marked letters are frequent, else 'en'."""
+    return "vi" if len(text) - len(text.encode("ascii", "ignore")) > 0.05 * len(text) else "en"
+
+
+class Chunks(dict):
+    """What each run of text between white space holds, remembered: texts repeat them over and over.
+
+    Values are value(words, closed); memory stays bounded because the store is emptied when large.
+    """
+
+    def __init__(self, value):
+        self.value = value
+
+    def __missing__(self, chunk: str):
+        if len(self) > 200_000:
+            self.clear()
+        got = self[chunk] = self.value(_WORD.findall(unicodedata.normalize("NFC", chunk).lower()), _CLOSED.search(chunk) is not None)
+        return got
+
+
+def counted(text: str, familiar: frozenset, stores: dict, key) -> tuple[int, int, int]:
+    """(words, words outside the list, sentences): a sentence ends at a sentence mark or with its line."""
+    store = stores.get(key)
+    if store is None:
+        store = stores[key] = Chunks(lambda ws, closed: len(ws) + (sum(w not in familiar for w in ws) << 24) + (closed << 48) if ws else closed << 48)
+    whole = open_lines = 0
+    for line in text.split("\n"):
+        chunks = line.split()
+        if chunks:
+            whole += sum(map(store.__getitem__, chunks))
+            open_lines += not store[chunks[-1]] >> 48
+    return whole & 0xFFFFFF, whole >> 24 & 0xFFFFFF, (whole >> 48) + open_lines
 
 
 class _Frequencies:
     """Document frequencies of one task, handed on whenever they grow large."""
 
     def __init__(self):
-        self.n, self.df = Counter(), Counter()
+        self.n, self.df = Counter(), {"vi": Counter(), "en": Counter()}
+        self.words = Chunks(lambda ws, closed: ws)
 
     def add(self, texts: list) -> None:
         for t in texts:
-            lang, words, _ = parsed(t)
-            self.n[lang] += 1
-            self.df.update((lang, w) for w in set(words))
+            if t:
+                lang = language(t)
+                self.n[lang] += 1
+                self.df[lang].update({w for c in set(t.split()) for w in self.words[c]})
+
+    def large(self) -> bool:
+        return sum(map(len, self.df.values())) > 400_000
 
     def flush(self) -> dict | None:
-        rows = [(k, "", v) for k, v in self.n.items()] + [(k, w, v) for (k, w), v in self.df.items()]
-        self.n, self.df = Counter(), Counter()
+        rows = [(k, "", v) for k, v in self.n.items()] + [(k, w, v) for k, c in self.df.items() for w, v in c.items()]
+        self.n, self.df = Counter(), {"vi": Counter(), "en": Counter()}
         return dict(zip(("lang", "word", "n"), map(list, zip(*rows)))) if rows else None
 
 
@@ -73,7 +93,7 @@ def frequencies(documents: DataFrame) -> DataFrame:
 
     def count(state, cols):
         state.add(cols["text"])
-        return state.flush() if len(state.df) > 400_000 else None
+        return state.flush() if state.large() else None
 
     part = map_batches(documents.select("text"), count, "lang string, word string, n long", _Frequencies)
     return part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -155,16 +175,16 @@ def levels(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, e
     known = labels.where("doc_id is not null and reading_level is not null").groupBy("doc_id").agg(F.max("reading_level").alias("level"))
     known = known.orderBy(F.xxhash64(F.lit(5), "doc_id")).limit(most_labels)
 
-    def shares_of(words: list[str], lang: str) -> list[float]:
-        have = lists.get(lang, {})
-        v = np.sort(np.fromiter((have.get(w, 0.0) for w in words), float, len(words)))
-        return (np.searchsorted(v, np.array(LISTS), "left") / max(1, len(words))).tolist()
-
     def measure(_, cols):
         out = {"level": cols["level"], "lang": [], "shares": [], "length": []}
         for t in cols["text"]:
-            lang, words, length = parsed(t)
-            out["lang"].append(lang), out["shares"].append(shares_of(words, lang)), out["length"].append(length)
+            t = t or ""
+            lang = language(t)
+            have = lists.get(lang, {})
+            words, _n, sentences = counted(t, frozenset(), {}, "")
+            v = np.sort(np.fromiter((have.get(w, 0.0) for w in _WORD.findall(unicodedata.normalize("NFC", t).lower())), float))
+            out["lang"].append(lang), out["length"].append(words / max(1, sentences))
+            out["shares"].append((np.searchsorted(v, np.array(LISTS), "left") / max(1, len(v))).tolist())
         return out
 
     sample = map_batches(docs.join(known, "doc_id").dropDuplicates(["doc_id"]).select("text", "level"), measure, "level int, lang string, shares array<double>, length double")
@@ -178,18 +198,16 @@ def levels(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, e
             if (g == lang).sum() >= enough:
                 models[lang] = _fit(s[g == lang], n[g == lang], y[g == lang])
 
-    known_words = {k: frozenset(w for w, v in lists.get(k, {}).items() if v >= LISTS[m["list"]]) for k, m in models.items()}
+    models_lists = {(lang, k): frozenset(w for w, v in lists.get(lang, {}).items() if v >= LISTS[m["list"]]) for lang in ("vi", "en") for k, m in models.items()}
 
-    def score(_, cols):
+    def score(stores, cols):
         by = defaultdict(list)
         for i, t in enumerate(cols["text"]):
-            lang, words, length = parsed(t)
+            t = t or ""
+            lang = language(t)
             k = lang if lang in models else "?"
-            if k == "?":
-                familiar = frozenset(w for w, v in lists.get(lang, {}).items() if v >= LISTS[models["?"]["list"]]) if models else frozenset()
-            else:
-                familiar = known_words[k]
-            by[k].append((i, sum(1 for w in words if w not in familiar) / max(1, len(words)), length))
+            words, strange, sentences = counted(t, models_lists.get((lang, k), frozenset()), stores, (lang, k))
+            by[k].append((i, strange / max(1, words), words / max(1, sentences)))
         got = [3] * len(cols["text"])
         for k, v in by.items():
             if k in models:
@@ -199,7 +217,7 @@ def levels(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, e
                     got[i] = int(m["classes"][c])
         return {"doc_id": cols["doc_id"], "reading_level": got}
 
-    return map_batches(docs, score, "doc_id long, reading_level int").groupBy("doc_id").agg(F.max("reading_level").alias("reading_level"))
+    return map_batches(docs, score, "doc_id long, reading_level int", dict).groupBy("doc_id").agg(F.max("reading_level").alias("reading_level"))
 
 
 def profile(documents: DataFrame, labels: DataFrame) -> DataFrame:
