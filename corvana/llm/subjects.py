@@ -1,6 +1,6 @@
 """Problem 2: subject areas by a seeded, anchored non-negative factorisation of the document-term matrix.
 
-Terms are adjacent word pairs inside a sentence that occur in at least `least` of all documents (the vocabulary is
+Terms are adjacent word pairs inside a sentence, known by a 32-bit hash, that occur in at least `least` of all documents (the vocabulary is
 bounded by the pairs of an average document divided by `least`). Only closed sentences count: lines or parts of lines
 that end in a sentence mark, which leaves menus, headlines of other stories and labels aside.
 
@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,74 +32,110 @@ from corvana.functions.arrow import map_batches
 from corvana.session import stored
 
 _WORD = re.compile(r"[^\W_]+")
-_CLOSED = re.compile(r"[^.!?…\n]*(?:[.!?…](?!\s|$)[^.!?…\n]*)*[.!?…]+", re.M)
+_GAP = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
+_CLOSED = tuple(a + b for a in ".!?…" for b in ("", '"', "'", "”", "’", "»", ")", "]"))
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The words of every closed sentence, lower-case."""
+    """The words of every closed sentence of more than three words, lower-case."""
     if not text:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
     got = []
     for line in text.lower().split("\n"):
+        line = line.strip()
         if line:
-            got += [w for m in _CLOSED.findall(line) if len(w := _WORD.findall(m)) > 3]
+            parts = _GAP.split(line)
+            got += [w for x in parts[:-1] if len(w := _WORD.findall(x)) > 3]
+            if line.endswith(_CLOSED) and len(w := _WORD.findall(parts[-1])) > 3:
+                got.append(w)
     return got
 
 
-class _Terms:
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word)
+        return h
+
+
+def pairs_of(found: list[list[str]], words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hashes of the adjacent word pairs of all sentences, where each sentence ends among them)."""
+    if not found:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    n = np.array([len(s) for s in found])
+    w = np.fromiter(map(words.__getitem__, (x for s in found for x in s)), np.uint32, int(n.sum()))
+    h = (w[:-1] * np.uint32(0x9E3779B1)) ^ (w[1:] + np.uint32(0x7F4A7C15))
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    inside = np.ones(len(w) - 1, bool)
+    inside[np.cumsum(n)[:-1] - 1] = False
+    return (h ^ (h >> np.uint32(13)))[inside], np.cumsum(n - 1).astype(np.int32)
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """(id, mask, pairs, ends): every document as the hashes of its word pairs; texts are read once, here."""
+
+    def code(words, cols):
+        got = [pairs_of(sentences(t), words) for t in cols["text"]]
+        return {"id": cols["id"], "mask": cols["mask"], "pairs": [p.tobytes() for p, _ in got], "ends": [e.tobytes() for _, e in got]}
+
+    return map_batches(docs.select("id", "mask", "text"), code, "id long, mask long, pairs binary, ends binary", _Words)
+
+
+class _Frequencies:
+    """Document frequencies of one task as sorted arrays, merged when many batches have come together."""
+
     def __init__(self):
-        self.n, self.df = 0, Counter()
+        self.parts: list[np.ndarray] = []
+        self.values, self.counts, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def merge(self) -> None:
+        v, c = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (self.values[:0], self.counts[:0])
+        self.parts = []
+        v, at = np.unique(np.concatenate([self.values, v]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, c]), len(v)).astype(np.int64)
+        self.values = v
 
     def flush(self) -> dict | None:
-        rows = [("", self.n), *self.df.items()] if self.n else []
-        self.n, self.df = 0, Counter()
-        return dict(zip(("term", "n"), map(list, zip(*rows)))) if rows else None
+        self.merge()
+        got = {"term": np.append(self.values.astype(np.int64), -1), "n": np.append(self.counts, self.n)}
+        self.values, self.counts, self.n = self.values[:0], self.counts[:0], 0
+        return got
 
 
-def vocabulary(docs: DataFrame, least: float) -> list[str]:
-    """Pairs in at least `least` of all documents, in order."""
+def vocabulary(matrix: DataFrame, least: float) -> np.ndarray:
+    """Hashes of the pairs in at least `least` of all documents (and two), sorted."""
 
     def count(state, cols):
-        for t in cols["text"]:
-            state.n += 1
-            state.df.update({f"{a} {b}" for s in sentences(t) for a, b in zip(s, s[1:])})
-        return state.flush() if len(state.df) > 500_000 else None
-
-    df = map_batches(docs.select("text"), count, "term string, n long", _Terms).groupBy("term").agg(F.sum("n").alias("n"))
-    total = df.where("term = ''").select(F.col("n").alias("of"))
-    rows = df.where("term <> ''").crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(2.0), F.col("of") * least)).select("term")  # beside one row
-    return sorted(r["term"] for r in rows.collect())
-
-
-def _matrix(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, mask, at, ends): each document's known terms in order of sentence, and where its sentences end."""
-    number = {t: i for i, t in enumerate(terms)}
-    number_sc = docs.sparkSession.sparkContext.broadcast(number)
-
-    def code(_, cols):
-        get = number_sc.value.get
-        at, ends = [], []
-        for t in cols["text"]:
-            a, e = [], []
-            for s in sentences(t):
-                a += [k for p in zip(s, s[1:]) if (k := get(f"{p[0]} {p[1]}")) is not None]
-                e.append(len(a))
-            at.append(np.array(a, np.int32).tobytes()), ends.append(np.array(e, np.int32).tobytes())
-        return {"id": cols["id"], "mask": cols["mask"], "at": at, "ends": ends}
-
-    return map_batches(docs.select("id", "mask", "text"), code, "id long, mask long, at binary, ends binary")
-
-
-def _batch(cols: dict, v: int, k: int, b: int):
-    """Flattened counts (row, term, n, row starts) of a batch, and its allowed components."""
-    flat = [np.frombuffer(x, np.int32) for x in cols["at"]]
+        state.n += len(cols["pairs"])
+        state.parts += [np.unique(np.frombuffer(p, np.uint32)) for p in cols["pairs"]]
+        if sum(map(len, state.parts)) > 2_000_000:
+            state.merge()
+        return state.flush() if len(state.values) > 2_000_000 else None
+
+    df = stored(map_batches(matrix.select("pairs"), count, "term long, n long", _Frequencies).groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    total = df.where("term = -1").agg(F.sum("n")).first()[0] or 0
+    rows = df.where((F.col("term") >= 0) & (F.col("n") >= max(2.0, total * least))).select("term").collect()  # at most the pairs of an average document / least
+    return np.array(sorted(r["term"] for r in rows), np.uint32)
+
+
+def _batch(cols: dict, terms: np.ndarray, k: int, b: int):
+    """Known terms and sentence ends by document; flattened counts (row, term, n); allowed components."""
+    v = max(1, len(terms))
+    flat, ends = [], []
+    for p, e in zip(cols["pairs"], cols["ends"]):
+        p, e = np.frombuffer(p, np.uint32), np.frombuffer(e, np.int32)
+        at = np.minimum(np.searchsorted(terms, p), v - 1)
+        known = terms[at] == p if len(terms) else np.zeros(len(p), bool)
+        flat.append(at[known])
+        ends.append(np.concatenate(([0], np.cumsum(known)))[e])
     row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
-    key, n = np.unique(row.astype(np.int64) * v + np.concatenate(flat) if flat else np.zeros(0, np.int64), return_counts=True)
+    key, n = np.unique(row.astype(np.int64) * v + (np.concatenate(flat) if flat else np.zeros(0, np.int64)), return_counts=True)
     mask = np.array([(1 << k) - 1 if m is None else m for m in cols["mask"]])
     allow = np.c_[(mask[:, None] >> np.arange(k)) & 1, np.ones((len(flat), b), int)].astype(np.float32)
-    return flat, key // v, key % v, n.astype(np.float32), allow
+    return flat, ends, key // v, key % v, n.astype(np.float32), allow
 
 
 def h_step(row, term, n, allow, w, steps: int):
@@ -146,9 +182,9 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
     known = known.groupBy(F.col("article_id").alias("id")).agg(F.bit_or(bit[F.col("subject")]).cast("long").alias("mask")) if codes else labels.select(F.col("article_id").alias("id"), F.lit(None).cast("long").alias("mask")).limit(0)
     known = known.orderBy(F.xxhash64(F.lit(3), "id")).limit(most_labels)
     docs = articles.select(F.col("id").alias("id"), F.col("content").alias("text")).where(F.col("id").isNotNull() & (F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")).join(known, "id", "left")
-    terms = vocabulary(docs, least)
+    matrix = stored(coded(docs), "matrix")
+    terms = vocabulary(matrix, least)
     v = max(1, len(terms))
-    matrix = stored(_matrix(docs, terms), "matrix")
 
     def sums(w, first: bool):
         """One round: the W-step's numerators over all documents, by term."""
@@ -163,7 +199,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
                 return {"term": at.astype(np.int32), "x": list(self.x[at])} if len(at) else None
 
         def step(state, cols):
-            _, row, term, n, allow = _batch(cols, v, k, background)
+            _, _, row, term, n, allow = _batch(cols, terms, k, background)
             if first:  # seeds: labelled documents feed their anchors, all documents the background
                 labelled = np.array([m is not None for m in cols["mask"]])
                 a = allow.copy()
@@ -188,7 +224,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
         return out
 
     w = np.zeros((v, k + background), np.float32)
-    if terms and k:
+    if len(terms) and k:
         seed = sums(None, True)
         if not seed[:, :k].any():
             return spark.createDataFrame([], "article_id long, subject string")
@@ -204,9 +240,9 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
 
     def name(_, cols):
         ids, subs = [], []
-        flat, row, term, n, allow = _batch(cols, v, k, background)
+        flat, ends, row, term, n, allow = _batch(cols, terms, k, background)
         h, _r = h_step(row, term, n, allow, wb.value, 3 * steps)
-        counts = about(flat, [np.frombuffer(e, np.int32) for e in cols["ends"]], h, wb.value, k, enough, lead)
+        counts = about(flat, ends, h, wb.value, k, enough, lead)
         for i, c in enumerate(counts):
             m = cols["mask"][i]
             if m is not None:
