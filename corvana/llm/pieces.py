@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvana.functions.arrow import map_batches
 
 RANKS = ("line", "sentence", "word", "none")
-_END = re.compile(r"[.!?…]+[\"'”’»›)\]}]*(?=\s|$)", re.M)
+_END = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»›)\]}]*+(?=\s|$)", re.M)
 _SPACE = re.compile(r"\s+")
 #: Words before a dot that do not end a sentence (fixed values); initials (see `_dot_ends`) never do either.
 ABBREVIATIONS = frozenset(
