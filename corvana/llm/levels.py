@@ -27,7 +27,8 @@ from corvana.functions.arrow import map_batches
 
 LISTS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7)
 _WORD = re.compile(r"[^\W\d_]+")
-_CLOSED = re.compile(r"[.!?…]+[\"'”’»)\]]*$")
+_MARKS = frozenset(".!?…")
+_QUOTES = "\"'”’»)]"
 
 
 def language(text: str) -> str:
@@ -47,7 +48,7 @@ class Chunks(dict):
     def __missing__(self, chunk: str):
         if len(self) > 200_000:
             self.clear()
-        got = self[chunk] = self.value(_WORD.findall(unicodedata.normalize("NFC", chunk).lower()), _CLOSED.search(chunk) is not None)
+        got = self[chunk] = self.value(_WORD.findall(unicodedata.normalize("NFC", chunk).lower()), chunk.rstrip(_QUOTES)[-1:] in _MARKS)
         return got
 
 
