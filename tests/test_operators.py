@@ -160,3 +160,26 @@ def test_analyze(rules):
     a = N.analyze("Đội Vịnh Sa thắng ai ở Hà Nội?", rules)
     assert {"đội vịnh sa", "hà nội"} <= set(a["anchor_terms"]) and a["term_weights"]["hà nội"] == 4.0 and "WHO" in a["question_intents"]
     assert N.analyze("", rules)["requires_clarification"]
+
+
+def test_phrase_hits_of_any_length(spark):
+    long = "ủy ban điều phối lưu vực sông nam thành mở rộng"
+    docs = spark.createDataFrame([(1, f"Nay {long.title()}, họp."), (2, "Ủy ban điều phối: lưu"), (3, None), (4, ""), (5, "sông nam")], "id long, x string")
+    phrases = spark.createDataFrame([(long, "ORG"), ("ủy ban điều phối", "ORG"), ("ủy ban điều phối", "TOPIC"), ("sông nam", "LOC"), ("lưu", "LOC"), ("", "LOC"), (None, "LOC")], "phrase string, type string")
+    got = {tuple(r) for r in N.phrase_hits(docs, "id", "x", phrases).collect()}
+    assert got == {(1, 1, long, "ORG"), (1, 5, "lưu", "LOC"), (1, 7, "sông nam", "LOC"), (2, 0, "ủy ban điều phối", "ORG"), (2, 0, "ủy ban điều phối", "TOPIC"), (2, 4, "lưu", "LOC"), (5, 0, "sông nam", "LOC")}
+    assert N.phrase_hits(docs, "id", "x", phrases.limit(0)).columns == ["id", "pos", "phrase", "type"]
+
+
+def test_phrase_hits_against_a_plain_scan(spark):
+    rng = random.Random(8)
+    texts = [[rng.choice("abcd") for _ in range(rng.randrange(0, 60))] for _ in range(30)]
+    phrases = {" ".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 3, 5, 6, 7]))) for _ in range(60)} - {"a"}
+    want = set()
+    for k, w in enumerate(texts):
+        for i in range(len(w)):
+            have = [n for n in range(1, len(w) - i + 1) if " ".join(w[i : i + n]) in phrases]
+            want |= {(k, i, " ".join(w[i : i + max(have)]))} if have else set()
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "id long, x string")
+    got = N.phrase_hits(docs, "id", "x", spark.createDataFrame([(p, "T") for p in phrases], "phrase string, type string"))
+    assert {(r["id"], r["pos"], r["phrase"]) for r in got.collect()} == want
