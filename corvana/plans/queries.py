@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvana.functions import constants as K
 from corvana.functions import dates as D
 from corvana.functions import text as T
+from corvana.operators import boilerplate as B
 from corvana.operators import chunks as C
 from corvana.operators import dedup as U
 from corvana.operators import graph as G
@@ -490,7 +491,7 @@ for _kind in ("MONEY", "DATE", "TIME", "PERCENT", "PHONE", "URL", "AGE", "TEMPER
 
 @query("n0_extract_all")
 def _(t):
-    x = N.extract_all(t("articles").where("content is not null").select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), "content").alias("text")), "id", "text")
+    x = N.extract_all(t("articles").where("content is not null").select("id", B.extraction_text(F.col("title"), F.col("content"), F.col("source")).alias("text")), "id", "text")
     return x.select("id", F.size("entities").alias("entities"), F.size("relations").alias("relations"), F.size("attributes").alias("attributes"), F.to_json("relations").alias("found"))
 
 
@@ -600,7 +601,7 @@ def _(t):
 
 @query("g3_build_graph")
 def _(t):
-    a = t("articles").where("content is not null").select("id", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), "content").alias("text")).dropDuplicates(["id"])
+    a = t("articles").where("content is not null").select("id", B.extraction_text(F.col("title"), F.col("content"), F.col("source")).alias("text")).dropDuplicates(["id"])
     from corvana.session import stored
 
     x = stored(N.extract_all(a, "id", "text"), "extracted").withColumnRenamed("id", "article_id")

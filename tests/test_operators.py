@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvana.functions import constants as K
+from corvana.operators import boilerplate as B
 from corvana.operators import chunks as C
 from corvana.operators import dedup as U
 from corvana.operators import graph as G
@@ -183,3 +184,24 @@ def test_phrase_hits_against_a_plain_scan(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "id long, x string")
     got = N.phrase_hits(docs, "id", "x", spark.createDataFrame([(p, "T") for p in phrases], "phrase string, type string"))
     assert {(r["id"], r["pos"], r["phrase"]) for r in got.collect()} == want
+
+
+def test_extraction_text_has_no_boilerplate(spark, tmp_path):
+    from corvana.plans.queries import QUERIES
+
+    body = "Đội tuyển Việt Nam thắng.\n\nẢnh: Trần Văn Nam"
+    rows = [(1, "Tin", "Lá Tre", body), (2, None, None, "Trần Văn Nam thắng."), (3, "Tin", "Lá Tre", None)]
+    spark.createDataFrame(rows, "id long, title string, source string, content string").write.parquet(str(tmp_path / "articles.parquet"))
+    spark.createDataFrame([], "id long, name string, type string").write.parquet(str(tmp_path / "graph_entities.parquet"))
+    text = spark.read.parquet(str(tmp_path / "articles.parquet")).select("id", B.extraction_text(F.col("title"), F.col("content"), F.col("source")))
+    assert dict(map(tuple, text.collect())) == {1: "Tin. Đội tuyển Việt Nam thắng.", 2: ". Trần Văn Nam thắng.", 3: None}
+    bare = N.extract("Tin. Đội tuyển Việt Nam thắng.", N.Rules())
+    got = {r["id"]: r["entities"] for r in QUERIES["n0_extract_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2} and got[1] == sum(map(len, bare.values()))
+    links = {r["what"]: r["n"] for r in QUERIES["g3_build_graph"](spark, str(tmp_path)).collect()}["links"]
+    assert links == sum(len({v.lower() for v in vs}) for x in (bare, N.extract(". Trần Văn Nam thắng.", N.Rules())) for k, vs in x.items() if k in K.ANCHOR_TYPES and k != "TOPIC")
+
+
+@pytest.mark.parametrize(("text", "found"), [("Ông đến Nga hôm qua.", True), ("tiếng Nga khó", False), ("Bà Nga nói", False), ("gặp Nga Hoàng ở đó", False), ("đi nga", False), ("Nga, Mỹ", True)])
+def test_single_countries(text, found):
+    assert ("nga" in N.extract(text, N.Rules())["LOC"]) is found
