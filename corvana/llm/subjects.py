@@ -75,13 +75,13 @@ def pairs_of(found: list[list[str]], words: dict) -> tuple[np.ndarray, np.ndarra
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """(id, mask, pairs, ends): every document as the hashes of its word pairs; texts are read once, here."""
+    """(id, mask, fit, pairs, ends): every document as the hashes of its word pairs; texts are read once, here."""
 
     def code(words, cols):
         got = [pairs_of(sentences(t), words) for t in cols["text"]]
-        return {"id": cols["id"], "mask": cols["mask"], "pairs": [p.tobytes() for p, _ in got], "ends": [e.tobytes() for _, e in got]}
+        return {"id": cols["id"], "mask": cols["mask"], "fit": cols["fit"], "pairs": [p.tobytes() for p, _ in got], "ends": [e.tobytes() for _, e in got]}
 
-    return map_batches(docs.select("id", "mask", "text"), code, "id long, mask long, pairs binary, ends binary", _Words)
+    return map_batches(docs.select("id", "mask", "fit", "text"), code, "id long, mask long, fit long, pairs binary, ends binary", _Words)
 
 
 class _Frequencies:
@@ -133,7 +133,7 @@ def _batch(cols: dict, terms: np.ndarray, k: int, b: int):
         ends.append(np.concatenate(([0], np.cumsum(known)))[e])
     row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
     key, n = np.unique(row.astype(np.int64) * v + (np.concatenate(flat) if flat else np.zeros(0, np.int64)), return_counts=True)
-    mask = np.array([(1 << k) - 1 if m is None else m for m in cols["mask"]])
+    mask = np.array([(1 << k) - 1 if m is None else m for m in cols["fit"]])
     allow = np.c_[(mask[:, None] >> np.arange(k)) & 1, np.ones((len(flat), b), int)].astype(np.float32)
     return flat, ends, key // v, key % v, n.astype(np.float32), allow
 
@@ -180,7 +180,9 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
     bit = F.create_map(*[x for i, c in enumerate(codes) for x in (F.lit(c), F.lit(1 << i))]) if codes else None
     known = labels.where("article_id is not null and subject is not null").where(F.col("subject").isin(codes))
     known = known.groupBy(F.col("article_id").alias("id")).agg(F.bit_or(bit[F.col("subject")]).cast("long").alias("mask")) if codes else labels.select(F.col("article_id").alias("id"), F.lit(None).cast("long").alias("mask")).limit(0)
-    known = known.orderBy(F.xxhash64(F.lit(3), "id")).limit(most_labels)
+    known = stored(known, "labels")
+    fit = known.orderBy(F.xxhash64(F.lit(3), "id")).limit(most_labels).select("id", F.col("mask").alias("fit"))  # what the factors are fitted on; all of them are kept
+    known = stored(known.join(fit, "id", "left"), "labels")
     docs = articles.select(F.col("id").alias("id"), F.col("content").alias("text")).where(F.col("id").isNotNull() & (F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")).join(known, "id", "left")
     matrix = stored(coded(docs), "matrix")
     terms = vocabulary(matrix, least)
@@ -201,14 +203,14 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
         def step(state, cols):
             _, _, row, term, n, allow = _batch(cols, terms, k, background)
             if first:  # seeds: labelled documents feed their anchors, all documents the background
-                labelled = np.array([m is not None for m in cols["mask"]])
+                labelled = np.array([m is not None for m in cols["fit"]])
                 a = allow.copy()
                 a[~labelled, :k] = 0
                 a[:, :k] /= np.maximum(a[:, :k].sum(1, keepdims=True), 1)
                 np.add.at(state.x, term, a[row] * n[:, None])
                 return None
             h, ratio = h_step(row, term, n, allow, wb.value, steps)
-            weight = np.where([m is not None for m in cols["mask"]], 4.0, 1.0)  # anchors pull more than other documents
+            weight = np.where([m is not None for m in cols["fit"]], 4.0, 1.0)  # anchors pull more than other documents
             order = np.argsort(term, kind="stable")
             t = term[order]
             if len(t):
@@ -226,8 +228,9 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
     w = np.zeros((v, k + background), np.float32)
     if len(terms) and k:
         seed = sums(None, True)
-        if not seed[:, :k].any():
-            return spark.createDataFrame([], "article_id long, subject string")
+        if not seed[:, :k].any():  # nothing to fit on: only the labelled articles have subjects
+            terms, seed = terms[:0], None
+    if len(terms) and k:
         base = seed[:, k:] / max(seed[:, k].sum(), 1e-9)
         anchored = seed[:, :k] / np.maximum(seed[:, :k].sum(0), 1e-9)
         rng = np.random.default_rng(9)

@@ -141,3 +141,17 @@ def test_names(spark):
 @pytest.mark.parametrize(("a", "b", "want"), [("abc", "abc", True), ("abc", "ab", True), ("abc", "acb", True), ("abc", "xbc", True), ("abcd", "ab", False), ("abc", "cab", False)])
 def test_near(a, b, want):
     assert names.near(a, b) is want and names.near(b, a) is want
+
+
+def test_all_labels_are_kept(spark):
+    names = ["law", "sport", "farming"]
+    text = {"law": "Tòa án xét xử bị cáo. ", "sport": "Đội bóng ghi bàn thắng. ", "farming": "Nông dân gặt lúa mùa. "}
+    rows = [(i, text[names[i % 3]] * 4) for i in range(90)] + [(90, "không có câu nào")]
+    given = {i: names[(i + i // 3) % 3] for i in range(0, 90, 2)} | {90: "law"}
+    df, areas = spark.createDataFrame(rows, "id long, content string"), spark.createDataFrame([(s,) for s in names], "subject string")
+    lab = spark.createDataFrame(list(given.items()), "article_id long, subject string")
+    for most in (5, 0):
+        got = {}
+        for r in subjects.subjects(df, lab, areas, most_labels=most).collect():
+            got.setdefault(r["article_id"], []).append(r["subject"])
+        assert {i: got.get(i) for i in given} == {i: [s] for i, s in given.items()}
