@@ -155,3 +155,12 @@ def test_all_labels_are_kept(spark):
         for r in subjects.subjects(df, lab, areas, most_labels=most).collect():
             got.setdefault(r["article_id"], []).append(r["subject"])
         assert {i: got.get(i) for i in given} == {i: [s] for i, s in given.items()}
+
+
+def test_repetition_within_a_small_source(spark):
+    rows = [(i, f"Dòng riêng số {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "Lớn") for i in range(17_000)]
+    rows += [(20_000 + i, "Danh mục nhỏ", "Nhỏ") for i in range(10)]
+    pages = spark.createDataFrame(rows, "u long, text string, source string")
+    got = main_text.repetition(main_text.lines_by_page(pages), len(rows), 1 / 2500)
+    key = main_text._key(main_text.lines_of("Danh mục nhỏ", "nhỏ")[0][2])
+    assert [r["level"] for r in got.where(F.col("k") == key).collect()] == [3]
