@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from corvana.session import stored
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, comp): for every end of the edges (a, b), the smallest id of its component. Null ends are ignored."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp): for every end of the edges (a, b), the smallest id of its component. Null ends are ignored.
+
+    Labels only sink, so the rounds end; jumping makes them few even on long chains."""
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     e = stored(e.union(e.select("b", "a")).distinct(), "edges")
     label = stored(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    for _ in range(most_rounds):
+    while True:
         seen = e.join(label.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         step = label.join(seen, "id").select("id", "comp", F.least("comp", "near").alias("low"))
         jump = step.join(label.select(F.col("id").alias("low"), F.col("comp").alias("far")), "low", "left")
@@ -21,4 +23,3 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         label = new.select("id", "comp")
         if new.where("moved").limit(1).count() == 0:
             return label
-    raise RuntimeError("components did not settle")

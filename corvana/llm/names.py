@@ -1,18 +1,27 @@
 """Problem 6: variant spellings of names, by a prefix-filtered set-similarity join and soft weighted token similarity.
 
-A name is read into forms: its main form, and other names given in brackets, in quotation marks or after "tức". A form
-has tokens in three roles: words of kind (titles, kinds of company or place; they weigh little), markers (numbers, models,
-years, branches; they must agree), and the core. Abbreviations are written out from the table of short forms; words typed
-without marks, with input-method keys left in them, run together or joined by signs are brought to one spelling.
+A name is read into pieces: its main form, and what stands in brackets, in quotation marks or after "tức". The words of all
+names are counted, and for each distinct word the table itself says, by joins, what it may stand for:
 
-Candidates: the q-grams of a form's core, as a set (around the end for persons, so that reordered parts keep their grams);
-grams are ordered by rarity, and a pair must share at least 0.4 of the smaller set, so one of the smaller set's rarest
-grams (its prefix) must be in the larger set. The join is an equi-join on those grams, within one type.
+* spellings of one word that differ in the place of the tone, or are typed with input-method keys, are the most frequent one;
+* a word is a slip of another if one edit turns it into one that is at least `ratio` times as frequent. The words one edit
+  away are found by a deletion index (two such words agree once at most one letter is left out of each);
+* a run is divided into the fewest words of the table that are each at least `ratio` times as frequent;
+* an abbreviation is written out from the table of short forms.
 
-Verification: tokens are aligned in order (persons: in any rotation) and compared softly - equal, equal without marks, one
-edit away from a word that occurs nearly nowhere else, or an initial - and weighted by rarity. Pairs are strong (all of the
-core agrees) or weak (initials, a missing middle part, kind words missing, another name given only there); a weak pair
-counts only if the short side's links lead to one single entity. The entities are the connected components.
+Being ratios, these tests act alike at every size of the table, and only the words of a name travel with it.
+
+Tokens then take roles: words of kind (titles, kinds of company or place), markers (numbers, models, years, branches; they
+must agree), and the core. Candidates: the q-grams and tokens of a form's core, as a set (around the end for persons, so that
+reordered parts keep theirs), ordered by rarity; a pair must share `least` of the larger set, so one of the rarest grams
+(the prefix) of each side must be a rarest gram of the other. The join is an equi-join of the two prefixes within one type.
+
+Verification: tokens are aligned in order (persons: in any rotation) and compared softly - equal, equal without marks, a
+slip, or an initial - and weighted by rarity. Kinds agree if their words, their initials or abbreviations agree, or if the
+two phrases of kind name the same cores and markers again and again (not for places, whose ranks differ by rule). Pairs are
+strong (all of the core agrees) or weak (initials, a missing middle part, kind words missing, another name given only
+there); a weak pair counts only if the short side's links lead to one single entity. The entities are the connected
+components.
 
 Defined results: null, blank or wordless names and null types link to nothing; rows of one id count once (the smallest
 name); equal names of one type are linked; types outside the two vocabularies are types of their own; null short forms are
@@ -22,10 +31,8 @@ ignored; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,19 +57,18 @@ TITLES = frozenset(
 KINDS = frozenset(
     "công ty cổ phần trách nhiệm hữu hạn tập đoàn tổng doanh nghiệp tư nhân ngân hàng thương mại bệnh viện đa khoa phòng khám trường đại học cao đẳng trung phổ thông tiểu mầm non tâm nghiên cứu "
     "hợp tác xã ủy ban dân câu lạc bộ bóng đá chuyền rổ điền kinh bơi lội đội tuyển liên hiệp hội quỹ sở cục hãng tin đồng dược phẩm nông sản thủy dệt may xây dựng vận tải cơ khí bao bì in ấn chế biến gỗ "
-    "năng lượng du lịch địa chất tế công nghệ bảo hiểm chứng khoán bất động huyện phường thị trấn quận thành phố tỉnh thôn ấp làng cù lao sông núi hồ đảo đường cầu cảng sân bay quốc nhà máy văn hóa hát vượt viên "
-    "tàng thư chợ khu giải lễ hoan phim cúp festival điện thoại xe sữa hạt ứng dụng tính app".split()
+    "năng lượng du lịch địa chất tế công nghệ bảo hiểm chứng khoán bất động huyện phường thị trấn quận thành phố tỉnh thôn ấp làng cù lao sông núi hồ đảo đường cầu cảng sân bay quốc nhà máy văn hóa hát vượt viên phần mềm "
+    "tàng thư chợ khu giải lễ hoan phim cúp festival điện thoại xe sữa hạt ứng dụng tính app fc".split()
 )
 MODELS = frozenset("mini pro plus max lite ultra air se".split())
-BRANCH = (("chi", "nhánh"), ("cơ", "sở"), ("phân", "hiệu"))
+BRANCH = ("chi nhanh", "co so", "phan hieu")
 _ALSO = re.compile(r"\s(?:tức là|tức|hay còn gọi là|còn gọi là|biệt danh|bí danh|alias|aka)\s")
 _BRACKET = re.compile(r"[(\[]([^)\]]*)[)\]]")
 _QUOTED = re.compile("[\"“”«»]([^\"“”«»]+)[\"“”«»]")
-_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]?\.?$")
-_SPLIT = re.compile(r"[\s_\-‐–—/·’'`]+")
-#: Titles and words that are also written otherwise (fixed values of the language).
-_DOTTED_TITLES = {"th.s": "ths", "th.s.": "ths", "ts.": "ts", "p.gs": "pgs", "n.s.ư.t": "nsưt", "app": "ứng_dụng"}
+_SPLIT = re.compile(r"[\s\-‐–—/·’'`]+")
 _VOWEL = re.compile("[aeiouy]")
+_TONES = "̣̀́̃̉"
+_KEYS = {"f": _TONES[0], "s": _TONES[1], "x": _TONES[2], "r": _TONES[3], "j": _TONES[4]}
 
 
 def fold(s: str) -> str:
@@ -72,27 +78,25 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).replace("đ", "d")
 
 
-def unkeyed(s: str, known) -> str | None:
-    """A word with input-method keys (aa, ow, final s f r x j) as the known word it stands for."""
-    t = fold(s)
-    t = re.sub(r"dd", "d", t)
-    t = re.sub(r"([aeo])\1", r"\1", t).replace("w", "")
-    if t in known and t != s:
-        return t
-    for i in range(len(t) - 1, 0, -1):
-        if t[i] in "sfrxj" and t[:i] + t[i + 1 :] in known:
-            return t[:i] + t[i + 1 :]
-    return None
+def toned(s: str) -> str:
+    """The letters without tones, then the tones: one form wherever in the word the tone is put."""
+    if s.isascii():
+        return s
+    d = unicodedata.normalize("NFD", s)
+    tones = "".join(sorted({c for c in d if c in _TONES}))
+    return unicodedata.normalize("NFC", "".join(c for c in d if c not in _TONES)) + tones
 
 
-def parted(s: str, known) -> list[str] | None:
-    """A run of known words as the fewest of them; None if there is no such division."""
-    best: list = [[]] + [None] * len(s)
-    for e in range(2, len(s) + 1):
-        for b in range(max(0, e - 7), e - 1):
-            if best[b] is not None and s[b:e] in known and (best[e] is None or len(best[b]) + 1 < len(best[e])):
-                best[e] = [*best[b], s[b:e]]
-    return best[len(s)] if best[len(s)] and len(best[len(s)]) > 1 else None
+def keyed(s: str) -> str | None:
+    """What a word typed with input-method keys (aa, ow, dd, final s f r x j) stands for, as `toned`; None if it has none."""
+    if not (s.isascii() and s.isalpha()) or s in MODELS or not _VOWEL.search(s):
+        return None
+    t = s.replace("dd", "đ").replace("aa", "â").replace("ee", "ê").replace("oo", "ô").replace("uwo", "uow").replace("uoww", "uow")
+    t = t.replace("uow", "ươ").replace("aw", "ă").replace("ow", "ơ").replace("uw", "ư")
+    at = max((i for i, c in enumerate(t) if c in _KEYS and i and _VOWEL.search(fold(t[:i]))), default=-1)
+    if at > 0:
+        t = t[:at] + t[at + 1 :] + _KEYS[t[at]]
+    return t if t != s else None
 
 
 def near(a: str, b: str) -> bool:
@@ -105,209 +109,308 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-class Lexicon:
-    """What the whole table says about words: how often each occurs, which are words of kind, the short forms."""
+def fewest_parts(length: int, spans: list[tuple[int, int, str]]) -> list[str] | None:
+    """The fewest spans (begin, end, word) that cover 0..length end to end; None if there are none. Ties: the longest first."""
+    best: list = [[]] + [None] * length
+    for b, e, w in sorted(spans, key=lambda s: (s[1], s[0])):
+        if best[b] is not None and (best[e] is None or len(best[b]) + 1 < len(best[e])):
+            best[e] = [*best[b], w]
+    return best[length] if best[length] and len(best[length]) > 1 else None
 
-    def __init__(self, df: dict[str, int], rows: int, kinds: dict[str, set], short: dict[str, list[str]]):
-        self.df, self.rows, self.kinds, self.short = df, rows, kinds, short
-        self.folded = Counter()
-        for w, n in df.items():
-            self.folded[fold(w)] += n
-        # without marks a word of kind may look like a word of names; then it is taken for the latter
-        self.kind_folds = {c: {fold(k) for k in ks} - {fold(w) for w in df if w not in ks and fold(w) != w} for c, ks in kinds.items()}
 
-    def weight(self, f: str) -> float:
-        return math.log(1 + self.rows / (1 + self.folded.get(f, 0)))
+# ---- reading
 
-    def rare(self, w: str) -> bool:
-        return w not in self.df
+
+def pieces(name: str | None, cls: str) -> list[tuple[str, list[str]]]:
+    """(how, raw tokens) of the main form ('main'), of brackets ('in') and of other names ('also')."""
+    if not name or not name.strip():
+        return []
+    s = " ".join(unicodedata.normalize("NFC", name).lower().split())
+    extra = [("in", x) for x in _BRACKET.findall(s)]
+    s = _BRACKET.sub(" ", s)
+    if cls == "PERSON":
+        extra += [("also", x) for x in _QUOTED.findall(s)]
+        s = _QUOTED.sub(" ", s) if _QUOTED.sub(" ", s).strip() else s
+    s = re.sub('["“”«»]', " ", s)
+    main, *also = _ALSO.split(f" {s} ")
+    extra += [("also", x) for x in also]
+    if "," in main and cls == "PERSON":
+        b, _, a = main.partition(",")
+        main = f"{a} {b}"
+    got = [(how, raw_tokens(x, cls)) for how, x in [("main", main), *extra]]
+    return [g for g in got if g[1]] if got[0][1] else []
 
 
-def _tokens(text: str, cls: str, lex: Lexicon) -> list[str]:
+def raw_tokens(text: str, cls: str) -> list[str]:
+    """Words between white space and signs; a word with dots is one title, initials (each with its dot), or several words."""
     out: list[str] = []
-    for t in _SPLIT.split(text):
-        t = _DOTTED_TITLES.get(t.strip(",;:"), t.strip(",;:"))
-        if not t:
-            continue
-        if "_" in t:
-            out += t.split("_")
-            continue
-        if t in lex.short and (cls != "PERSON" or len(t.strip(".")) > 1):
-            out += lex.short[t]
+    for t in _SPLIT.split(text.replace("_", " ")):
+        t = t.strip(",;:")
+        bare = t.replace(".", "")
+        if not bare:
             continue
-        if _INITIALS.match(t) and (cls == "PERSON" or t.rstrip(".") not in lex.short):
-            letters = [x for x in t.split(".") if x]
-            if "." in t and all(len(x) == 1 for x in letters):
-                out += [x + "." for x in letters]
-                continue
-        for x in re.findall(r"[^.]+\.?", t):
-            bare = x.rstrip(".")
-            if cls != "PERSON" or len(bare) > 1:
-                got = lex.short.get(x) or lex.short.get(bare)
-                if got:
-                    out += got
-                    continue
-            if bare:
-                out.append(bare + "." if len(bare) == 1 and bare.isalpha() and cls == "PERSON" else bare)
+        if "." not in t:
+            out.append(t)
+        elif cls == "PERSON" and bare in TITLES:
+            out.append(bare)
+        elif all(len(x) == 1 for x in t.split(".") if x):
+            out += [x + "." for x in bare] if cls == "PERSON" else [bare + "."]
+        else:
+            out += re.findall(r"[^.]+\.?", t)
     return out
 
 
-def _spelled(tokens: list[str], lex: Lexicon) -> list[str]:
-    """Each token as itself, as the known word it stands for, or divided into known words."""
+# ---- words of the table
+
+
+def _words(tokens: DataFrame, total: int, short_forms: DataFrame, ratio: int) -> DataFrame:
+    """(cls, w, says): for every distinct word of a type, what it may stand for (see the module's text), as a struct."""
+    w = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def forms_(_, cols):
+        bare = [x.rstrip(".") for x in cols["w"]]
+        return {"w": cols["w"], "n": cols["n"], "t": [toned(x) for x in bare], "f": [fold(x) for x in bare], "k": [keyed(x) for x in bare], "word": [x.isalpha() and len(x) > 1 for x in bare]}
+
+    w = stored(map_batches(w, forms_, "w string, n long, t string, f string, k string, word boolean"), "words")
+    real = w.where("word")
+    spelled = real.groupBy("t").agg(F.max_by("w", F.struct("n", "w")).alias("c"), F.sum("n").alias("n"))
+    best = real.select("w", "n", F.col("t").alias("u")).unionByName(real.where("k is not null").select("w", "n", F.col("k").alias("u")))
+    best = best.join(spelled.select(F.col("t").alias("u"), "c", F.col("n").alias("nc")), "u").where("c = w or nc >= n").groupBy("w").agg(F.max_by("c", F.struct("nc", "c")).alias("c"))
+    folds = real.groupBy("f").agg(F.sum("n").alias("nf"), F.max_by("w", F.struct("n", "w")).alias("c"))
+
+    def holes(_, cols):
+        out = {"w": [], "n": [], "x": [], "key": [], "side": []}
+        for word, n, t, f, bare_word in zip(cols["w"], cols["n"], cols["t"], cols["f"], cols["unlike"]):
+            left = "lr" if bare_word else "r"
+            for space, x, sides in (("f", f, left if word.isascii() else "r"), ("t", t, "" if word.isascii() else "lr"), ("w", word.rstrip("."), "" if word.isascii() else "lr")):
+                for key in {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))} if sides and len(x) > 2 else ():
+                    out["w"].append(word), out["n"].append(n), out["x"].append(x), out["key"].append(space + key), out["side"].append(sides)
+        return out if out["w"] else None
+
+    # a word without marks whose marked forms are known is no slip
+    h = stored(map_batches(real.join(folds.select("f", "nf"), "f").withColumn("unlike", F.expr("nf < 2 * n")), holes, "w string, n long, x string, key string, side string"), "holes")
+    slip = h.where("side = 'lr'").alias("a").join(h.alias("b"), F.expr(f"a.key = b.key and b.n >= {ratio} * a.n and a.x <> b.x")).select(F.col("a.w").alias("w"), F.col("a.x").alias("x"), F.col("b.w").alias("v"), F.col("b.x").alias("y")).distinct()
+
+    def slips(_, cols):
+        keep = [i for i, (x, y) in enumerate(zip(cols["x"], cols["y"])) if near(x, y)]
+        return {"w": [cols["w"][i] for i in keep], "v": [cols["v"][i] for i in keep]}
+
+    slip = map_batches(slip, slips, "w string, v string").groupBy("w").agg(F.sort_array(F.collect_set("v")).alias("near"))
+
+    def spans(_, cols):
+        out = {"w": [], "n": [], "b": [], "e": [], "v": []}
+        for word, n, f in zip(cols["w"], cols["n"], cols["f"]):
+            for b in range(len(word)):
+                for e in range(b + 2, min(b + 8, len(word)) + 1):
+                    if e - b < len(word):
+                        out["w"].append(word), out["n"].append(n), out["b"].append(b), out["e"].append(e), out["v"].append(word[b:e])
+        return out if out["w"] else None
+
+    s = map_batches(real.where("char_length(f) >= 5 and char_length(f) = char_length(w)"), spans, "w string, n long, b int, e int, v string")
+    whole = real.select(F.col("w").alias("v"), F.col("n").alias("m"), F.col("w").alias("c")).unionByName(folds.where("f <> c").select(F.col("f").alias("v"), F.col("nf").alias("m"), "c")).groupBy("v").agg(F.max(F.struct("m", "c")).alias("x")).select("v", "x.*")
+    s = s.join(whole, "v").where(F.col("m") >= ratio * F.col("n")).groupBy("w").agg(F.collect_list(F.struct("b", "e", F.concat_ws(" ", "v", "c").alias("v"))).alias("spans"))
+
+    def parts(_, cols):
+        got = [fewest_parts(len(x), [(p["b"], p["e"], p["v"]) for p in ps]) for x, ps in zip(cols["w"], cols["spans"])]
+        return {"w": cols["w"], "parts": got}
+
+    s = map_batches(s, parts, "w string, parts array<string>").where("parts is not null")
+    full = short_forms.where("short_form is not null and full_form is not null").select(F.lower(F.trim("short_form")).alias("s"), F.split(F.lower(F.trim("full_form")), r"\s+").alias("full"))
+    full = full.withColumn("w", F.explode(F.array_distinct(F.array("s", F.concat(F.rtrim("s", F.lit(".")), F.lit(".")), F.rtrim("s", F.lit(".")))))).groupBy("w").agg(F.min("full").alias("full"))
+    rarity = F.log(1 + F.lit(float(total)) / (1 + F.coalesce("nf", F.lit(0))))
+    says = w.join(best, "w", "left").join(slip, "w", "left").join(s, "w", "left").join(full, "w", "left").join(folds.select("f", "nf", F.col("c").alias("like")), "f", "left")
+    says = says.select("w", F.struct(F.coalesce("c", "w").alias("c"), F.coalesce("like", "w").alias("like"), "near", "parts", "full", rarity.alias("weight")).alias("says"))
+    # words of kind of a type: nearly always first, or nearly always followed by one word
+    by = tokens.groupBy("cls", "w", "after").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("first"))
+    by = by.groupBy("cls", "w").agg(F.sum("n").alias("n"), F.sum("first").alias("first"), F.max(F.when(F.col("after") != "", F.col("n"))).alias("top"))
+    size = by.groupBy("cls").agg(F.sum("first").alias("size"))
+    kind = by.join(F.broadcast(size), "cls").where("cls <> 'PERSON'")  # one row for each type
+    kind = kind.select("cls", "w", F.expr("n >= greatest(12, 0.02 * size) and (first >= 0.85 * n or coalesce(top, 0) >= 0.85 * n)").alias("kind"))
+    return stored(tokens.select("cls", "w").distinct().join(says, "w").join(kind, ["cls", "w"], "left").select("cls", "w", F.struct("says.*", F.coalesce("kind", F.lit(False)).alias("kind")).alias("says")), "says")
+
+
+def spelled(tokens: list[dict], cls: str) -> list[dict]:
+    """Tokens as dicts w (word), like (the likeliest word with its letters), v (what it is a slip of), g (weight), kind;
+    written out, corrected and divided."""
+    token = lambda w, like=None, v=(), g=1.0, kind=False: {"w": w, "like": like or w, "v": v, "g": g, "kind": kind}
     out = []
     for t in tokens:
-        f = fold(t)
-        if len(t) < 5 and t.startswith("dd") and not _VOWEL.search(f):
-            t = f = f[1:]
-        if t.endswith(".") or any(c.isdigit() for c in t) or not lex.rare(t) or f in lex.folded:
-            out.append(t)
-        elif (u := unkeyed(t, lex.folded)) is not None:
-            out.append(u)
-        elif any(near(f, x) for x in lex.folded):
-            out.append(t)
-        elif len(f) >= 5 and (p := parted(f, lex.folded)) is not None:
-            out += p
-        elif len(f) >= 7 and (p := parted(unkeyed_run(f), lex.folded)) is not None:
-            out += p
+        w, bare = t["w"], t["w"].rstrip(".")
+        if cls == "PERSON" and w.endswith(".") and len(bare) == 1:
+            out.append(token(w, g=0.1))
+        elif t["full"] and (cls != "PERSON" or len(bare) > 1):
+            out += [token(x) for x in t["full"]]
+        elif bare in TITLES or bare in KINDS or not bare.isalpha():
+            out.append(token(bare, g=t["weight"], kind=t["kind"]))
+        elif t["parts"] and not t["near"] and t["c"].rstrip(".") == bare:
+            out += [token(*p.split(" ")) for p in t["parts"]]
+        elif bare.startswith("dd") and not _VOWEL.search(bare):
+            out.append(token("đ" + bare[2:], g=t["weight"], kind=t["kind"]))
         else:
-            out.append(t)
+            c = t["c"].rstrip(".")
+            out.append(token(c, t["like"].rstrip(".") if c.isascii() else c, tuple(x.rstrip(".") for x in t["near"] or ()), t["weight"], t["kind"]))
     return out
 
 
-def unkeyed_run(f: str) -> str:
-    return re.sub(r"([aeo])\1", r"\1", f.replace("dd", "d").replace("w", ""))
+_TITLE_FOLDS = frozenset(fold(t) for t in TITLES)
+_KIND_FOLDS = frozenset(fold(k) for k in KINDS)
+
+
+def _kind_word(t: dict) -> str | None:
+    """The word of kind that a token is, as it stands, without marks, as an abbreviation or as a slip; else None."""
+    if t["w"] in KINDS or t["kind"] or not _VOWEL.search(fold(t["w"])):
+        return t["w"]
+    if t["like"] in KINDS or t["like"] == t["w"] and t["w"] in _KIND_FOLDS:
+        return t["like"]
+    return next((v for v in t["v"] if v in KINDS), None)
 
 
-def _roles(tokens: list[str], cls: str, lex: Lexicon) -> dict | None:
-    core: list[str] = []
+def roles(tokens: list[dict], cls: str) -> dict | None:
+    """core: tokens; kind: words; mark: sorted markers. None without a core."""
+    core: list[dict] = []
     kind: list[str] = []
     mark: list[str] = []
     if cls == "PERSON":
         i = 0
         while i < len(tokens) - 1:  # titles lead
             for n in (4, 3, 2, 1):
-                if i + n < len(tokens) and ("_".join(tokens[i : i + n]) in TITLES or fold("_".join(tokens[i : i + n])) in _TITLE_FOLDS and not (n == 1 and len(tokens) - i <= 4)):
-                    kind += tokens[i : i + n]
-                    i += n
-                    break
+                if i + n < len(tokens):
+                    led = "_".join(t["w"] for t in tokens[i : i + n])
+                    if led in TITLES or fold(led) in _TITLE_FOLDS and not (n == 1 and len(tokens) - i <= 4):
+                        i += n
+                        break
             else:
                 break
         core = tokens[i:]
-    else:
-        kinds, folds = lex.kinds.get(cls, KINDS), lex.kind_folds.get(cls, _KIND_FOLDS)
-        i = 0
-        while i < len(tokens):
-            t, f = tokens[i], fold(tokens[i])
-            if i and any(tuple(map(fold, tokens[i : i + 2])) == tuple(map(fold, b)) for b in BRANCH) and core:
-                mark.append("+" + "".join(map(fold, tokens[i + 2 :])))
-                break
-            if any(c.isdigit() for c in t):
-                mark.append(f)
-            elif f in MODELS and core:
-                mark.append(f)
-            elif f == "so" and i + 1 < len(tokens) and tokens[i + 1].isdigit():
-                pass
-            elif t in kinds or f in folds and (lex.rare(t) or t == f) or not _VOWEL.search(f):
-                kind.append(t)
-            elif lex.rare(t) and len(f) >= 4 and f not in lex.folded and (k := next((x for x in sorted(folds) if len(x) >= 3 and near(x, f)), None)) and (kind and i == len(kind) or i + 1 < len(tokens) and tokens[i + 1] in kinds):
+        return {"core": core, "kind": [], "mark": []} if core else None
+    folded = [fold(t["w"]) for t in tokens]
+    for i, t in enumerate(tokens):
+        f = folded[i]
+        if core and " ".join(folded[i : i + 2]) in BRANCH:
+            mark.append("+" + "".join(folded[i + 2 :]))
+            break
+        if any(c.isdigit() for c in f) or f in MODELS and core:
+            mark.append(f)
+        elif f == "so" and i + 1 < len(tokens) and folded[i + 1].isdigit():
+            continue
+        else:
+            k = _kind_word(t)
+            # a slip counts as a word of kind only beside another
+            sure = k in (t["w"], t["like"])
+            beside = any(0 <= j < len(tokens) and _kind_word(tokens[j]) for j in (i - 1, i + 1))
+            if k and (sure or beside):
                 kind.append(k)
             else:
                 core.append(t)
-            i += 1
-    if not core:
-        return None
-    return {"core": core, "kind": kind, "mark": sorted(mark)}
+    return {"core": core, "kind": kind, "mark": sorted(mark)} if core else None
 
 
-_TITLE_FOLDS = frozenset(fold(t) for t in TITLES)
-_KIND_FOLDS = frozenset(fold(k) for k in KINDS)
-
-
-def forms(name: str | None, cls: str, lex: Lexicon) -> list[dict]:
+def forms(got: list[tuple[str, list[dict]]], cls: str) -> list[dict]:
     """The forms of a name, the main one first; each has core, kind, mark, alias."""
-    if not name or not name.strip():
+    read = [(how, spelled(tokens, cls)) for how, tokens in got]
+    lead: list[dict] = []
+    rest = []
+    for how, t in read[1:]:
+        r = roles(t, cls)
+        if how == "in" and r is None and cls != "PERSON":
+            lead += t  # a word of kind in brackets
+        else:
+            rest.append(r)
+    first = roles(lead + read[0][1], cls)
+    if first is None:
         return []
-    s = " ".join(unicodedata.normalize("NFC", name).lower().split())
-    extra: list[str] = []
-    lead = ""
-    for inner in _BRACKET.findall(s):
-        inner_tokens = _spelled(_tokens(inner, cls, lex), lex)
-        r = _roles(inner_tokens, cls, lex) if cls != "PERSON" and inner_tokens else None
-        if cls != "PERSON" and inner_tokens and r is None:
-            lead += inner + " "
-        elif inner.strip():
-            extra.append(inner)
-    s = _BRACKET.sub(" ", s)
-    if cls == "PERSON":
-        extra += _QUOTED.findall(s)
-        s = _QUOTED.sub(" ", s) if _QUOTED.sub(" ", s).strip() else s.replace('"', " ")
-    s = re.sub('["“”«»]', " ", s)
-    main, *also = _ALSO.split(f" {s} ")
-    extra += also
-    if "," in main and cls == "PERSON":
-        b, _, a = main.partition(",")
-        main = f"{a} {b}"
-    got = []
-    for n, x in enumerate([lead + main, *extra]):
-        r = _roles(_spelled(_tokens(x, cls, lex), lex), cls, lex)
+    out = [{**first, "alias": False}]
+    for r in rest:
         if r:
-            if n and not r["mark"] and got:
-                r["mark"] = got[0]["mark"]
-            got.append({**r, "alias": n > 0})
-    return got
+            out.append({**r, "mark": r["mark"] or first["mark"], "alias": True})
+    return out
 
 
 def grams(form: dict, cls: str, q: int = 4) -> list[str]:
-    core = form["core"]
-    if any(t.endswith(".") for t in core):
-        runs, run = [], []
+    """The set of a form's core: q-grams of the joined words (around the end for persons) and whole tokens."""
+    core = [t["w"] for t in form["core"]]
+    words = [fold(t) for t in core if not t.endswith(".")]
+    if len(words) < len(core):
+        runs, run = [], ""
         for t in [*core, "."]:
             if t.endswith("."):
-                if run:
-                    runs.append("".join(run))
-                run = []
+                runs += [run] if run else []
+                run = ""
             else:
-                run.append(fold(t))
-        out = {r[i : i + q] for r in runs for i in range(max(1, len(r) - q + 1))}
+                run += fold(t)
     else:
-        j = "".join(map(fold, core))
-        around = j + j[: q - 1] if cls == "PERSON" and len(j) > q else j
-        out = {around[i : i + q] for i in range(max(1, len(around) - q + 1))}
-        if cls == "PERSON":
-            out.update("=" + fold(t) for t in core)
-    return sorted(out)
+        j = "".join(words)
+        runs = [j + j[: q - 1] if cls == "PERSON" and len(j) > q else j]
+    out = {r[i : i + q] for r in runs for i in range(max(1, len(r) - q + 1))}
+    return sorted(out | {"=" + w for w in words})
+
+
+# ---- comparing
 
 
-def _same(a: str, b: str, lex: Lexicon) -> float:
-    """Soft equality of two tokens: 1 equal, 0.9 a misspelling, 0.6 an initial, 0 else."""
-    if a == b:
+def _same(a: dict, b: dict) -> float:
+    """Soft equality of two tokens: 1 equal, 0.9 a slip, 0.6 an initial, 0 else."""
+    p, q = a["w"], b["w"]
+    if p == q:
         return 1.0
-    if a.endswith(".") or b.endswith("."):
-        return 0.6 if fold(a)[0] == fold(b)[0] else 0.0
-    fa, fb = fold(a), fold(b)
-    if fa == fb:
-        return 1.0 if a == fa or b == fb or lex.rare(a) or lex.rare(b) else 0.0
-    if min(len(fa), len(fb)) >= 2 and max(len(fa), len(fb)) >= 3 and (lex.rare(a) and fa not in lex.folded or lex.rare(b) and fb not in lex.folded) and near(fa, fb):
+    fp, fq = fold(p), fold(q)
+    if p.endswith(".") or q.endswith("."):
+        return 0.6 if fp[0] == fq[0] else 0.0
+    if fp == fq:
+        return 1.0 if p == fp or q == fq or toned(p) == toned(q) or a["v"] or b["v"] else 0.0
+    va, vb = a["v"], b["v"]
+    if q in va or p in vb or set(va) & set(vb) or q == fq and any(fold(v) == fq for v in va) or p == fp and any(fold(v) == fp for v in vb):
         return 0.9
     return 0.0
 
 
+def _aligned(a: list[dict], b: list[dict]) -> tuple[float, list[float]]:
+    """The similarity of two token rows, weighted by rarity, and the single values."""
+    s = [_same(p, q) for p, q in zip(a, b)]
+    g = [max(p["g"], q["g"], 0.1) for p, q in zip(a, b)]
+    return sum(x * y for x, y in zip(s, g)) / sum(g), s
+
+
 def _initials(kind: list[str]) -> str:
-    return "".join(fold(k) if not _VOWEL.search(fold(k)) else fold(k)[0] for k in kind)
+    return "".join(fold(k).rstrip(".") if not _VOWEL.search(fold(k)) else fold(k)[0] for k in kind)
+
+
+def _within(a: list[str], b: list[str]) -> bool:
+    rest = iter(b)
+    return all(x in rest for x in a)
 
 
-def link(x: dict, y: dict, cls: str, lex: Lexicon) -> str | None:
-    """'strong', 'x' or 'y' (weak, that side being the short one), or None."""
+def kinds(x: list[str], y: list[str], cls: str) -> str | None:
+    """How two phrases of kind agree: 'strong', 'x' or 'y' (that side being the short one), or None."""
+    fx, fy = [fold(t) for t in x], [fold(t) for t in y]
+    ix, iy = _initials(x), _initials(y)
+    brief = any(not _VOWEL.search(t) for t in fx + fy)
+    if sorted(fx) == sorted(fy) or ix == iy and (len(x) != len(y) or all(p == q or near(p, q) or brief for p, q in zip(fx, fy))):
+        return "strong"
+    if brief and len(ix) > 2 and sorted(ix) == sorted(iy):
+        return "strong"
+    if not x or not y:
+        return "x" if not x else "y"
+    if brief and (fx[-1:] != fy[-1:] or cls != "LOC") and (_within(list(ix), list(iy)) or _within(list(iy), list(ix))) and cls != "LOC":
+        return "x" if len(ix) < len(iy) else "y"
+    if cls != "LOC" and (_within(fx, fy) or _within(fy, fx)):
+        return "x" if len(fx) < len(fy) else "y"
+    return None
+
+
+def link(x: dict, y: dict, cls: str, alike: bool = False) -> str | None:
+    """'strong', 'x' or 'y' (weak, that side being the short one), or None. `alike`: the phrases of kind often meet."""
     if x["mark"] != y["mark"]:
         return None
     a, b = x["core"], y["core"]
-    ja, jb = "".join(map(fold, a)), "".join(map(fold, b))
+    ja, jb = "".join(fold(t["w"]) for t in a), "".join(fold(t["w"]) for t in b)
     if cls == "PERSON":
-        if len(b) < len(a) or (len(a) == len(b) and sum(t.endswith(".") for t in b) > sum(t.endswith(".") for t in a)):
-            back = link(y, x, cls, lex)
+        short = lambda c: sum(t["w"].endswith(".") for t in c)
+        if len(b) < len(a) or (len(a) == len(b) and short(b) > short(a)):
+            back = link(y, x, cls)
             return {"x": "y", "y": "x"}.get(back, back)
         if x["alias"] or y["alias"]:
-            if len(a) == len(b) and len(a) > 1 and all(_same(p, q, lex) >= 0.9 for p, q in zip(a, b)) or ja == jb:
+            if len(a) == len(b) and len(a) > 1 and min(_aligned(a, b)[1]) >= 0.9 or ja == jb:
                 return None if x["alias"] and y["alias"] else "x" if y["alias"] else "y"
             return None
         if ja == jb and len(ja) > 6:
@@ -318,49 +421,31 @@ def link(x: dict, y: dict, cls: str, lex: Lexicon) -> str | None:
             if n == 4:  # given name, middle name, family name
                 orders += [(a[2:] + a[1::-1], b), (a, b[2:] + b[1::-1])]
             for left, right in orders:
-                s = [_same(p, q, lex) for p, q in zip(left, right)]
+                score, s = _aligned(left, right)
                 if min(s) <= 0 or s.count(0.9) > 1:
                     continue
-                weights = [lex.weight(fold(q)) for q in b]
-                score = sum(w * v for w, v in zip(weights, s)) / sum(weights)
-                short = s.count(0.6)
-                if not short and score >= 0.8:
+                if 0.6 not in s and score >= 0.8:
                     return "strong"
-                if short and n - short >= 2 and not (sum(t.endswith(".") for t in b)):
+                if 0.6 in s and n - s.count(0.6) >= 2 and not short(b):
                     return "x"
-        if n + 1 == len(b) and n >= 3 and not any(t.endswith(".") for t in a + b):
+        if n + 1 == len(b) and n >= 3 and not short(a + b):
             for k in range(1, n):
-                s = [_same(p, q, lex) for p, q in zip(a, b[:k] + b[k + 1 :])]
+                s = _aligned(a, b[:k] + b[k + 1 :])[1]
                 if min(s) > 0 and s.count(0.9) <= 1:
                     return "x"
         return None
     if ja != jb:
         if len(a) != len(b):
             return None
-        s = [_same(p, q, lex) for p, q in zip(a, b)]
-        if min(s) < 0.9 or s.count(0.9) > 1:
-            return None
-        weights = [lex.weight(fold(q)) for q in b]
-        if sum(w * v for w, v in zip(weights, s)) / sum(weights) < 0.8:
+        score, s = _aligned(a, b)
+        if min(s) < 0.9 or s.count(0.9) > 1 or score < 0.8:
             return None
     elif len(ja) < 3:
         return None
     kx, ky = x["kind"], y["kind"]
     if x["alias"] or y["alias"]:
         kx, ky = (kx or ky), (ky or kx)
-    ix, iy = _initials(kx), _initials(ky)
-    if ix != iy and sorted(ix) == sorted(iy) and sorted(map(fold, kx)) != sorted(map(fold, ky)) and len(ix) > 2 and (any(not _VOWEL.search(fold(t)) for t in kx + ky)):
-        return "strong"
-    if sorted(map(fold, kx)) == sorted(map(fold, ky)):
-        return "strong"
-    if ix == iy and (len(kx) != len(ky) or all(fold(p)[0] == fold(q)[0] and (fold(p) == fold(q) or near(fold(p), fold(q))) for p, q in zip(kx, ky))):
-        return "strong"
-    if not kx or not ky:
-        return "x" if not kx else "y"
-    fx, fy = [fold(t) for t in kx], [fold(t) for t in ky]
-    if cls != "LOC" and ("".join(fx) in "".join(fy) or "".join(fy) in "".join(fx) or ix and ix in iy and any(not _VOWEL.search(t) for t in fx) or iy and iy in ix and any(not _VOWEL.search(t) for t in fy)):
-        return "x" if len(ix) < len(iy) else "y"
-    return None
+    return kinds(kx, ky, cls) or ("strong" if alike else None)
 
 
 def _class(type_: DataFrame):
@@ -369,117 +454,81 @@ def _class(type_: DataFrame):
     return F.coalesce(m[t], F.upper(F.trim("type")))
 
 
-class _Words:
-    """Counts of words (by class: rows, first places, followers) of one task."""
-
-    def __init__(self):
-        self.n = Counter()
-
-    def flush(self) -> dict | None:
-        rows = [(*k, v) for k, v in self.n.items()]
-        self.n = Counter()
-        return dict(zip(("what", "cls", "w", "v", "n"), map(list, zip(*rows)))) if rows else None
-
-
-def lexicon(names: DataFrame, short_forms: DataFrame, share: float = 1 / 20_000) -> Lexicon:
-    """Words in at least `share` of the rows (and 3): at most the words of an average name / share."""
-
-    def count(state, cols):
-        for name, cls in zip(cols["name"], cols["cls"]):
-            w = [x for x in re.split(r"[\s_\-().,\"“”]+", unicodedata.normalize("NFC", name).lower()) if x.isalpha()]
-            state.n.update({("word", "", x, "") for x in w})
-            state.n.update({("in", cls, x, "") for x in w})
-            state.n.update({("next", cls, x, y) for x, y in zip(w, w[1:])})
-            if w:
-                state.n[("first", cls, w[0], "")] += 1
-        return state.flush() if len(state.n) > 300_000 else None
-
-    n = names.count()
-    least = max(3, int(n * share))
-    got = map_batches(names.select("name", "cls"), count, "what string, cls string, w string, v string, n long", _Words)
-    got = got.groupBy("what", "cls", "w", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    short: dict[str, list[str]] = {}
-    for r in short_forms.select("short_form", "full_form").where("short_form is not null and full_form is not null").limit(100_000).collect():
-        k = unicodedata.normalize("NFC", r[0]).lower().strip()
-        short[k] = short[k.rstrip(".")] = unicodedata.normalize("NFC", r[1]).lower().split()
-    df = {r["w"]: r["n"] for r in got if r["what"] == "word"}
-    within = {(r["cls"], r["w"]): r["n"] for r in got if r["what"] == "in"}
-    kinds: dict[str, set] = defaultdict(lambda: set(KINDS))
-    size = Counter()
-    for r in got:
-        if r["what"] == "first":
-            size[r["cls"]] += r["n"]
-    for r in got:  # learned words of kind: nearly always first, or nearly always followed by one word
-        floor = max(12, 0.02 * size[r["cls"]])
-        if r["cls"] == "PERSON" or r["what"] not in ("first", "next") or within.get((r["cls"], r["w"]), 0) < floor:
-            continue
-        if r["n"] >= 0.85 * within[(r["cls"], r["w"])]:
-            kinds[r["cls"]].add(r["w"])
-            if r["what"] == "next" and within.get((r["cls"], r["v"]), 0) >= floor and r["n"] >= 0.5 * within[(r["cls"], r["v"])]:
-                kinds[r["cls"]].add(r["v"])
-    for full in short.values():
-        for c in set(x for x, _ in within) - {"PERSON"}:
-            kinds[c].update(full)
-    return Lexicon(df, max(1, n), dict(kinds), short)
+def _alike(f: DataFrame, times: int, share: float) -> DataFrame:
+    """(cls, ka, kb): phrases of kind found on the same core and markers `times` times, and on `share` of the cores of the
+    rarer one. In a table without synonyms two kinds share a core by chance only. Places are left out."""
+    u = f.where("cls not in ('PERSON', 'LOC') and phrase <> ''").select("cls", "phrase", "joined").distinct()
+    n = u.groupBy("cls", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    x = u.alias("x").join(u.alias("y"), F.expr("x.cls = y.cls and x.joined = y.joined and x.phrase < y.phrase")).groupBy(F.col("x.cls").alias("cls"), F.col("x.phrase").alias("ka"), F.col("y.phrase").alias("kb")).agg(F.count(F.lit(1)).alias("m"))
+    x = x.where(F.col("m") >= times).join(n.select("cls", F.col("phrase").alias("ka"), F.col("n").alias("na")), ["cls", "ka"]).join(n.select("cls", F.col("phrase").alias("kb"), F.col("n").alias("nb")), ["cls", "kb"])
+    x = x.where(F.col("m") >= share * F.least("na", "nb")).select("cls", "ka", "kb")
+    return x.unionByName(x.select("cls", F.col("kb").alias("ka"), F.col("ka").alias("kb")))
 
 
-def links(entities: DataFrame, short_forms: DataFrame, q: int = 4, least: float = 0.4) -> DataFrame:
+def links(entities: DataFrame, short_forms: DataFrame, q: int = 4, least: float = 0.3, ratio: int = 6, times: int = 3, share: float = 0.1) -> DataFrame:
     """(a, b, short): verified pairs of rows; short is null for strong pairs, else the id of the short side."""
-    spark = entities.sparkSession
     names = entities.where("id is not null and name is not null and type is not null").groupBy(F.col("id").alias("id")).agg(F.min(F.struct("name", _class(entities).alias("cls"))).alias("x")).select("id", "x.name", "x.cls")
     names = stored(names, "names")
-    lex = spark.sparkContext.broadcast(lexicon(names, short_forms))
 
     def read(_, cols):
-        out = {"id": [], "cls": [], "no": [], "form": [], "grams": []}
+        out = {k: [] for k in ("id", "cls", "no", "how", "pos", "w", "after")}
         for i, name, cls in zip(cols["id"], cols["name"], cols["cls"]):
-            for n, f in enumerate(forms(name, cls, lex.value)):
-                out["id"].append(i), out["cls"].append(cls), out["no"].append(n)
-                out["form"].append(json.dumps(f)), out["grams"].append(grams(f, cls, q))
+            for no, (how, tokens) in enumerate(pieces(name, cls)):
+                for pos, w in enumerate(tokens):
+                    out["id"].append(i), out["cls"].append(cls), out["no"].append(no), out["how"].append(how), out["pos"].append(pos), out["w"].append(w)
+                    out["after"].append(tokens[pos + 1] if pos + 1 < len(tokens) else "")
         return out if out["id"] else None
 
-    f = stored(map_batches(names, read, "id long, cls string, no int, form string, grams array<string>"), "forms")
+    tokens = stored(map_batches(names, read, "id long, cls string, no int, how string, pos int, w string, after string"), "tokens")
+    says = _words(tokens, names.count(), short_forms, ratio)
+    told = tokens.join(says, ["cls", "w"]).groupBy("id", "cls").agg(F.sort_array(F.collect_list(F.struct("no", "pos", "how", "w", "says"))).alias("tokens"))
+
+    def shape(_, cols):
+        out = {k: [] for k in ("id", "cls", "no", "form", "grams", "phrase", "joined")}
+        for i, cls, tokens in zip(cols["id"], cols["cls"], cols["tokens"]):
+            got: dict[int, tuple[str, list[dict]]] = {}
+            for t in tokens:
+                got.setdefault(t["no"], (t["how"], []))[1].append({"w": t["w"], **t["says"]})
+            for n, f in enumerate(forms([got[k] for k in sorted(got)], cls)):
+                out["id"].append(i), out["cls"].append(cls), out["no"].append(n), out["grams"].append(grams(f, cls, q))
+                out["form"].append(json.dumps(f)), out["phrase"].append(" ".join(f["kind"]))
+                out["joined"].append("".join(fold(t["w"]) for t in f["core"]) + " " + " ".join(f["mark"]))
+        return out if out["id"] else None
+
+    f = stored(map_batches(told, shape, "id long, cls string, no int, form string, grams array<string>, phrase string, joined string"), "forms")
     g = f.select("id", "no", "cls", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     df = g.groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = g.join(df, ["cls", "gram"]).withColumn("rank", F.row_number().over(Window.partitionBy("id", "no").orderBy("df", "gram")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    pairs = prefix.alias("x").join(g.alias("y"), (F.col("x.cls") == F.col("y.cls")) & (F.col("x.gram") == F.col("y.gram")))
-    pairs = pairs.where("x.id <> y.id and x.n <= y.n and (x.n < y.n or x.id < y.id)")
+    prefix = stored(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "no", "cls", "gram", "n"), "prefix")
+    pairs = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.cls = y.cls and x.gram = y.gram and x.id < y.id and x.n >= {least} * y.n and y.n >= {least} * x.n"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.no").alias("na"), F.col("y.id").alias("b"), F.col("y.no").alias("nb")).distinct()
-    left = f.select(F.col("id").alias("a"), F.col("no").alias("na"), "cls", F.col("form").alias("fa"), F.col("grams").alias("ga"))
-    right = f.select(F.col("id").alias("b"), F.col("no").alias("nb"), F.col("form").alias("fb"), F.col("grams").alias("gb"))
-    wide = pairs.join(left, ["a", "na"]).join(right, ["b", "nb"]).where(F.size(F.array_intersect("ga", "gb")) >= F.least(F.size("ga"), F.size("gb")) * least)
+    side = lambda i, n, s: f.select(F.col("id").alias(i), F.col("no").alias(n), *([F.col("cls")] if s == "a" else []), F.col("form").alias("f" + s), F.col("grams").alias("g" + s), F.col("phrase").alias("k" + s))
+    wide = pairs.join(side("a", "na", "a"), ["a", "na"]).join(side("b", "nb", "b"), ["b", "nb"]).where(F.size(F.array_intersect("ga", "gb")) >= F.greatest(F.size("ga"), F.size("gb")) * least)
+    wide = wide.join(_alike(f, times, share).withColumn("alike", F.lit(True)), ["cls", "ka", "kb"], "left")
 
     def verify(_, cols):
         out = {"a": [], "b": [], "short": []}
-        for a, b, cls, x, y in zip(cols["a"], cols["b"], cols["cls"], cols["fa"], cols["fb"]):
-            got = link(json.loads(x), json.loads(y), cls, lex.value)
+        for a, b, cls, x, y, alike in zip(cols["a"], cols["b"], cols["cls"], cols["fa"], cols["fb"], cols["alike"]):
+            got = link(json.loads(x), json.loads(y), cls, bool(alike))
             if got:
                 out["a"].append(a), out["b"].append(b), out["short"].append({"x": a, "y": b}.get(got))
         return out if out["a"] else None
 
-    return map_batches(wide.select("a", "b", "cls", "fa", "fb"), verify, "a long, b long, short long")
+    return map_batches(wide.select("a", "b", "cls", "fa", "fb", "alike"), verify, "a long, b long, short long")
 
 
-def entities_of(entities: DataFrame, short_forms: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, entity): for every row that has variants, its entity, named by the smallest id."""
+def entities_of(entities: DataFrame, short_forms: DataFrame) -> DataFrame:
+    """(id, entity, links): for every row that has variants, its entity, named by the smallest id, and its verified links."""
     found = stored(links(entities, short_forms).distinct(), "links")
     edges = found.where("short is null").select("a", "b")
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = found.select(F.explode(F.array("a", "b")).alias("id"), F.struct("a", "b").alias("pair")).groupBy("id").agg(F.countDistinct("pair").alias("links"))
+    ends = stored(ends, "ends")
     weak = found.where("short is not null").select("short", F.when(F.col("a") == F.col("short"), F.col("b")).otherwise(F.col("a")).alias("long"))
-    for _ in range(rounds):
+    while True:  # each round joins at least two entities
         comp = components(edges)
-        full = stored(ends.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
+        full = stored(ends.select("id").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "comp")
         w = weak.join(full.select(F.col("id").alias("short"), F.col("comp").alias("cs")), "short").join(full.select(F.col("id").alias("long"), F.col("comp").alias("cl")), "long").where("cs <> cl")
-        single = w.groupBy("cs").agg(F.min("cl").alias("lo"), F.max("cl").alias("hi")).where("lo = hi").select(F.col("cs").alias("a"), F.col("lo").alias("b"))
-        single = stored(single, "single")
+        single = stored(w.groupBy("cs").agg(F.min("cl").alias("lo"), F.max("cl").alias("hi")).where("lo = hi").select(F.col("cs").alias("a"), F.col("lo").alias("b")), "single")
         if single.limit(1).count() == 0:
-            break
+            return comp.join(ends, "id").select("id", F.col("comp").alias("entity"), "links")
         edges = edges.union(single)
-    return components(edges).select("id", F.col("comp").alias("entity"))
-
-
-def variant_pairs(entities: DataFrame, short_forms: DataFrame) -> DataFrame:
-    """(id_a, id_b): every pair of rows that mean the same entity."""
-    e = stored(entities_of(entities, short_forms), "entities")
-    return e.alias("x").join(e.alias("y"), "entity").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvana.llm import bins, levels, main_text, mixing, names, near_copies, pieces, site_lines, subjects
+from corvana.session import stored
 from corvana.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,16 @@ def _over(name: str, fn: Callable[..., DataFrame], *more: str) -> Query:
     return lambda spark, d: fn(table(spark, d, name), *(table(spark, d, m) for m in more))
 
 
+def _pairs_within(classes: DataFrame, cls: str, key: str) -> DataFrame:
+    """(id_a, id_b): the pairs of rows of one class that a pN_found query demands; the operators themselves give classes."""
+    c = stored(classes.select(key, cls), "classes")
+    return c.alias("x").join(c.alias("y"), cls).where(f"x.{key} < y.{key}").select(F.col(f"x.{key}").alias("id_a"), F.col(f"y.{key}").alias("id_b"))
+
+
+def _variant_pairs(entities: DataFrame, short_forms: DataFrame) -> DataFrame:
+    return _pairs_within(names.entities_of(entities, short_forms), "entity", "id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _over("articles", main_text.furniture_lines),
@@ -28,7 +40,7 @@ def queries() -> dict[str, Query]:
         "p4_clean": _over("articles", site_lines.without_repeated_lines),
         "p5_found": _over("articles", pieces.boundaries),
         "p5_pieces": _over("articles", pieces.cut),
-        "p6_found": _over("graph_entities", names.variant_pairs, "short_forms"),
+        "p6_found": _over("graph_entities", _variant_pairs, "short_forms"),
         "p6_entities": _over("graph_entities", names.entities_of, "short_forms"),
         "p7_containers": _over("documents", bins.packed),
         "p7_report": _over("documents", bins.report),

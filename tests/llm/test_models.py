@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corvana.llm import levels, main_text, names, subjects
+from corvana.llm import levels, main_text, names, queries, subjects
 from corvana.llm.components import components
 
 
@@ -130,12 +130,12 @@ def test_names(spark):
     rows += [(100 + i, " ".join(rng.choice(fill) for _ in range(4)), "PERSON") for i in range(150)] + [(400 + i, "xã " + " ".join(rng.choice(fill) for _ in range(2)), "LOC") for i in range(30)]
     df = spark.createDataFrame(rows, "id long, name string, type string").withColumns({"cls": F.lit("q"), "form": F.lit("f"), "grams": F.lit("g"), "a": F.lit(1), "short": F.lit(2)})
     short = spark.createDataFrame(SHORT, "short_form string, full_form string")
-    got = [tuple(r) for r in names.variant_pairs(df, short).collect()]
+    got = [tuple(r) for r in queries._variant_pairs(df, short).collect()]
     mine = {p for p in got if p[1] < 100}
     want = set(itertools.combinations(range(1, 9), 2)) | set(itertools.combinations(range(20, 24), 2)) | {(30, 31), (32, 33), (40, 42)}
     assert len(got) == len(set(got)) and mine == want
-    assert names.variant_pairs(df.limit(0), short).count() == 0
-    assert names.variant_pairs(df, short.limit(0)).count() > 0
+    assert queries._variant_pairs(df.limit(0), short).count() == 0
+    assert queries._variant_pairs(df, short.limit(0)).count() > 0
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [("abc", "abc", True), ("abc", "ab", True), ("abc", "acb", True), ("abc", "xbc", True), ("abcd", "ab", False), ("abc", "cab", False)])
