@@ -189,13 +189,13 @@ def _words(tokens: DataFrame, total: int, short_forms: DataFrame, ratio: int) ->
 
     # a word without marks whose marked forms are known is no slip
     h = stored(map_batches(real.join(folds.select("f", "nf"), "f").withColumn("unlike", F.expr("nf < 2 * n")), holes, "w string, n long, x string, key string, side string"), "holes")
-    slip = h.where("side = 'lr'").alias("a").join(h.alias("b"), F.expr(f"a.key = b.key and b.n >= {ratio} * a.n and a.x <> b.x")).select(F.col("a.w").alias("w"), F.col("a.x").alias("x"), F.col("b.w").alias("v"), F.col("b.x").alias("y")).distinct()
+    slip = h.where("side = 'lr'").alias("a").join(h.alias("b"), F.expr(f"a.key = b.key and b.n >= {ratio} * a.n and a.x <> b.x")).select(F.col("a.w").alias("w"), F.col("a.x").alias("x"), F.col("b.w").alias("v"), F.col("b.x").alias("y"), F.col("b.n").alias("n")).distinct()
 
     def slips(_, cols):
         keep = [i for i, (x, y) in enumerate(zip(cols["x"], cols["y"])) if near(x, y)]
-        return {"w": [cols["w"][i] for i in keep], "v": [cols["v"][i] for i in keep]}
+        return {"w": [cols["w"][i] for i in keep], "v": [cols["v"][i] for i in keep], "n": [cols["n"][i] for i in keep]}
 
-    slip = map_batches(slip, slips, "w string, v string").groupBy("w").agg(F.sort_array(F.collect_set("v")).alias("near"))
+    slip = map_batches(slip, slips, "w string, v string, n long").groupBy("w").agg(F.sort_array(F.collect_set(F.struct("n", "v")), asc=False)["v"].alias("near"))
 
     def spans(_, cols):
         out = {"w": [], "n": [], "b": [], "e": [], "v": []}
@@ -218,15 +218,16 @@ def _words(tokens: DataFrame, total: int, short_forms: DataFrame, ratio: int) ->
     full = short_forms.where("short_form is not null and full_form is not null").select(F.lower(F.trim("short_form")).alias("s"), F.split(F.lower(F.trim("full_form")), r"\s+").alias("full"))
     full = full.withColumn("w", F.explode(F.array_distinct(F.array("s", F.concat(F.rtrim("s", F.lit(".")), F.lit(".")), F.rtrim("s", F.lit(".")))))).groupBy("w").agg(F.min("full").alias("full"))
     rarity = F.log(1 + F.lit(float(total)) / (1 + F.coalesce("nf", F.lit(0))))
-    says = w.join(best, "w", "left").join(slip, "w", "left").join(s, "w", "left").join(full, "w", "left").join(folds.select("f", "nf", F.col("c").alias("like")), "f", "left")
-    says = says.select("w", F.struct(F.coalesce("c", "w").alias("c"), F.coalesce("like", "w").alias("like"), "near", "parts", "full", rarity.alias("weight")).alias("says"))
+    says = w.join(best, "w", "left").join(slip, "w", "left").join(s, "w", "left").join(full, "w", "left").join(folds.select("f", "nf"), "f", "left")
+    says = says.select("w", "f", F.struct(F.coalesce("c", "w").alias("c"), "near", "parts", "full", rarity.alias("weight")).alias("says"))
+    like = tokens.groupBy("cls", "w").agg(F.count(F.lit(1)).alias("n")).join(real.select("w", "f"), "w").groupBy("cls", "f").agg(F.max_by("w", F.struct("n", "w")).alias("like"))
     # words of kind of a type: nearly always first, or nearly always followed by one word
     by = tokens.groupBy("cls", "w", "after").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("first"))
     by = by.groupBy("cls", "w").agg(F.sum("n").alias("n"), F.sum("first").alias("first"), F.max(F.when(F.col("after") != "", F.col("n"))).alias("top"))
     size = by.groupBy("cls").agg(F.sum("first").alias("size"))
     kind = by.join(F.broadcast(size), "cls").where("cls <> 'PERSON'")  # one row for each type
     kind = kind.select("cls", "w", F.expr("n >= greatest(12, 0.02 * size) and (first >= 0.85 * n or coalesce(top, 0) >= 0.85 * n)").alias("kind"))
-    return stored(tokens.select("cls", "w").distinct().join(says, "w").join(kind, ["cls", "w"], "left").select("cls", "w", F.struct("says.*", F.coalesce("kind", F.lit(False)).alias("kind")).alias("says")), "says")
+    return stored(tokens.select("cls", "w").distinct().join(says, "w").join(kind, ["cls", "w"], "left").join(like, ["cls", "f"], "left").select("cls", "w", F.struct("says.*", F.coalesce("like", "w").alias("like"), F.coalesce("kind", F.lit(False)).alias("kind")).alias("says")), "says")
 
 
 def spelled(tokens: list[dict], cls: str) -> list[dict]:
@@ -258,7 +259,7 @@ _KIND_FOLDS = frozenset(fold(k) for k in KINDS)
 
 def _kind_word(t: dict) -> str | None:
     """The word of kind that a token is, as it stands, without marks, as an abbreviation or as a slip; else None."""
-    if t["w"] in KINDS or t["kind"] or not _VOWEL.search(fold(t["w"])):
+    if t["w"] in KINDS or t["kind"] or not t["v"] and not _VOWEL.search(fold(t["w"])):
         return t["w"]
     if t["like"] in KINDS or t["like"] == t["w"] and t["w"] in _KIND_FOLDS:
         return t["like"]
@@ -326,9 +327,10 @@ def forms(got: list[tuple[str, list[dict]]], cls: str) -> list[dict]:
     return out
 
 
-def grams(form: dict, cls: str, q: int = 4) -> list[str]:
-    """The set of a form's core: q-grams of the joined words (around the end for persons) and whole tokens."""
-    core = [t["w"] for t in form["core"]]
+def grams(form: dict, cls: str, q: int = 5) -> list[str]:
+    """The set of a form's core: q-grams of the joined words (around the end for persons) and whole tokens. A slip counts
+    as the most frequent word that it may be a slip of."""
+    core = [(t["v"] or [t["w"]])[0] for t in form["core"]]
     words = [fold(t) for t in core if not t.endswith(".")]
     if len(words) < len(core):
         runs, run = [], ""
@@ -465,8 +467,9 @@ def _alike(f: DataFrame, times: int, share: float) -> DataFrame:
     return x.unionByName(x.select("cls", F.col("kb").alias("ka"), F.col("ka").alias("kb")))
 
 
-def links(entities: DataFrame, short_forms: DataFrame, q: int = 4, least: float = 0.3, ratio: int = 6, times: int = 3, share: float = 0.1) -> DataFrame:
-    """(a, b, short): verified pairs of rows; short is null for strong pairs, else the id of the short side."""
+def links(entities: DataFrame, short_forms: DataFrame, q: int = 5, least: float = 0.2, most: float = 0.35, ratio: int = 6, times: int = 3, share: float = 0.1) -> DataFrame:
+    """(a, b, short): verified pairs of rows; short is null for strong pairs, else the id of the short side. Of the larger
+    set, forms with initials share `least`, others `most`."""
     names = entities.where("id is not null and name is not null and type is not null").groupBy(F.col("id").alias("id")).agg(F.min(F.struct("name", _class(entities).alias("cls"))).alias("x")).select("id", "x.name", "x.cls")
     names = stored(names, "names")
 
@@ -484,7 +487,7 @@ def links(entities: DataFrame, short_forms: DataFrame, q: int = 4, least: float
     told = tokens.join(says, ["cls", "w"]).groupBy("id", "cls").agg(F.sort_array(F.collect_list(F.struct("no", "pos", "how", "w", "says"))).alias("tokens"))
 
     def shape(_, cols):
-        out = {k: [] for k in ("id", "cls", "no", "form", "grams", "phrase", "joined")}
+        out = {k: [] for k in ("id", "cls", "no", "form", "grams", "phrase", "joined", "brief")}
         for i, cls, tokens in zip(cols["id"], cols["cls"], cols["tokens"]):
             got: dict[int, tuple[str, list[dict]]] = {}
             for t in tokens:
@@ -492,18 +495,19 @@ def links(entities: DataFrame, short_forms: DataFrame, q: int = 4, least: float
             for n, f in enumerate(forms([got[k] for k in sorted(got)], cls)):
                 out["id"].append(i), out["cls"].append(cls), out["no"].append(n), out["grams"].append(grams(f, cls, q))
                 out["form"].append(json.dumps(f)), out["phrase"].append(" ".join(f["kind"]))
+                out["brief"].append(any(t["w"].endswith(".") for t in f["core"]))
                 out["joined"].append("".join(fold(t["w"]) for t in f["core"]) + " " + " ".join(f["mark"]))
         return out if out["id"] else None
 
-    f = stored(map_batches(told, shape, "id long, cls string, no int, form string, grams array<string>, phrase string, joined string"), "forms")
+    f = stored(map_batches(told, shape, "id long, cls string, no int, form string, grams array<string>, phrase string, joined string, brief boolean"), "forms")
     g = f.select("id", "no", "cls", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     df = g.groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = g.join(df, ["cls", "gram"]).withColumn("rank", F.row_number().over(Window.partitionBy("id", "no").orderBy("df", "gram")))
     prefix = stored(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "no", "cls", "gram", "n"), "prefix")
     pairs = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.cls = y.cls and x.gram = y.gram and x.id < y.id and x.n >= {least} * y.n and y.n >= {least} * x.n"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.no").alias("na"), F.col("y.id").alias("b"), F.col("y.no").alias("nb")).distinct()
-    side = lambda i, n, s: f.select(F.col("id").alias(i), F.col("no").alias(n), *([F.col("cls")] if s == "a" else []), F.col("form").alias("f" + s), F.col("grams").alias("g" + s), F.col("phrase").alias("k" + s))
-    wide = pairs.join(side("a", "na", "a"), ["a", "na"]).join(side("b", "nb", "b"), ["b", "nb"]).where(F.size(F.array_intersect("ga", "gb")) >= F.greatest(F.size("ga"), F.size("gb")) * least)
+    side = lambda i, n, s: f.select(F.col("id").alias(i), F.col("no").alias(n), *([F.col("cls")] if s == "a" else []), F.col("form").alias("f" + s), F.col("grams").alias("g" + s), F.col("phrase").alias("k" + s), F.col("brief").alias("i" + s))
+    wide = pairs.join(side("a", "na", "a"), ["a", "na"]).join(side("b", "nb", "b"), ["b", "nb"]).where(F.size(F.array_intersect("ga", "gb")) >= F.greatest(F.size("ga"), F.size("gb")) * F.when(F.col("ia") | F.col("ib"), least).otherwise(most))
     wide = wide.join(_alike(f, times, share).withColumn("alike", F.lit(True)), ["cls", "ka", "kb"], "left")
 
     def verify(_, cols):
