@@ -1,11 +1,11 @@
 """Problem 5: splitting oversized texts at natural boundaries by pointer doubling.
 
 Every text yields a table of boundaries on four ranks: 0 line, 1 sentence, 2 word, 3 character. The table is
-joined to itself by position: each boundary gets its farthest legal successor, the last boundary of the coarsest
-possible rank within the size limit, and from there the start of the next piece, moved back by the overlap.
-Squaring the successor table (S := S o S) until it is stationary gives, for all boundaries of all texts of a batch
-at once, the members of the greedy chain: a boundary is on the chain if it is an image of the first one.
-The tables are arrays of one batch of texts, so nothing is shuffled and a text of any length is one row.
+joined to itself by position: each boundary gets its farthest legal successor: the last boundary of the coarsest
+possible rank within the size limit of the next piece, which starts up to the overlap before its predecessor's stop.
+Squaring the successor table (S := S o S) until it is stationary gives, for all boundaries of a text at once, the members
+of the greedy chain: a boundary is on the chain if it is an image of the first one. The tables are arrays of one text
+after the other in Arrow batches, so nothing is shuffled and a text of any length is one row.
 
 Units are measured without the white space that follows them: a line without its line feed, a sentence from its
 first to its last visible character, a word as a run without white space.
@@ -108,33 +108,27 @@ def cut_points(text: str, limit: int, overlap: int, rank: int | None = None) ->
         return [(0, len(text))]
     rank = coarsest(text, limit) if rank is None else rank
     tables = [units(text, r) for r in range(rank + 1)]
-    # States are starts of pieces: all starts of units of the ranks in use (words too, for the overlap, if cuts are at lines or sentences).
+    # States are the stops of pieces. The next piece is cut at the coarsest rank that has an end within the limit; it starts as
+    # far back, up to the overlap, as still lets it reach the first such end.
     starts = np.unique(np.concatenate([t[0] for t in tables] + ([units(text, 2)[0]] if rank < 2 else [])))
-    stop = np.full(len(starts), -1)
-    after = np.zeros(len(starts), np.int64)
-    for r in range(rank + 1):  # farthest successor on the coarsest rank that moves on
-        s, e = tables[r]
-        j = np.searchsorted(e, starts + limit, "right") - 1
-        ok = (stop < 0) & (j >= 0) & (e[j] > starts)
-        stop[ok], after[ok] = e[j[ok]], np.where(j[ok] + 1 < len(s), s[np.minimum(j[ok] + 1, len(s) - 1)], len(text))
-    end = len(starts)
-    nxt = np.full(end + 1, end)
-    last = after >= len(text)
-    plain = np.searchsorted(starts, after)  # the next piece without overlap
-    low = np.maximum(stop - overlap, starts + 1)
-    back = np.minimum(np.searchsorted(starts, low), plain)
-    # With overlap the next piece must still reach beyond the start it would have without one, on the same rank.
-    s0 = stop[np.minimum(plain, end - 1)]
-    for _ in range(64):
-        bad = (back < plain) & ~((stop[np.minimum(back, end - 1)] >= np.minimum(s0, starts[np.minimum(back, end - 1)] + limit - overlap)) & (stop[np.minimum(back, end - 1)] > stop))
-        if not bad.any():
-            break
-        back[bad] += 1
-    else:
-        back = np.where(bad, plain, back)
-    nxt[:end] = np.where(last, end, back)
-    chain = np.flatnonzero(on_chain(nxt, np.array([0]))[:end])
-    return [(int(starts[i]), int(stop[i])) for i in chain]
+    states = np.unique(np.concatenate([[0]] + [t[1] for t in tables]))
+    plain = np.append(starts, len(text))[np.searchsorted(starts, states)]
+    begin, stop = np.full(len(states), len(text)), np.full(len(states), len(text))
+    todo = np.ones(len(states), bool)
+    for s, e in tables:
+        first = np.append(e, len(text) + limit + 1)[np.searchsorted(e, states, "right")]
+        ok = todo & (first <= plain + limit)
+        begin[ok] = np.minimum(np.append(starts, len(text))[np.searchsorted(starts, np.maximum(states[ok] - overlap, first[ok] - limit))], plain[ok])
+        stop[ok] = e[np.searchsorted(e, begin[ok] + limit, "right") - 1]
+        todo &= ~ok
+    end = len(states)
+    nxt = np.where(todo | (stop >= len(text.rstrip())), end, np.searchsorted(states, stop))
+    chain = np.flatnonzero(on_chain(np.append(nxt, end), np.array([0]))[:end])
+    found: list[tuple[int, int]] = []
+    for k in chain[::-1]:  # a piece that the next one holds whole is none
+        if not todo[k] and (not found or begin[k] < found[-1][0]):
+            found.append((int(begin[k]), int(stop[k])))
+    return found[::-1]
 
 
 def _oversized(articles: DataFrame, limit: int) -> DataFrame:
