@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -34,9 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` once as a table in the shared folder and read it back: cuts lineage, survives executor loss."""
+    """Write `df` once as a table in the shared folder and read it back: cuts lineage, survives executor loss.
+
+    Results read from the table when they are computed, so it stays until `forget` or the end of the program."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvana-{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget() -> int:
+    """Delete the tables that `stored` has written so far; call it once their results are no longer needed."""
+    gone = 0
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            gone += at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended; nothing more can be done from here
+            continue
+    return gone
+
+
+atexit.register(forget)
