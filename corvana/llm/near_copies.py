@@ -172,16 +172,6 @@ def similar(articles: DataFrame, limit: float = 0.7, n: int = 3, slots: int = 12
     return members, map_batches(wide.select("a", "b", "sa", "sb"), exact, "a long, b long, jaccard double", rows=4000)
 
 
-def pairs(articles: DataFrame, limit: float = 0.7, n: int = 3) -> DataFrame:
-    """(id_a, id_b): every pair of different articles at or above the limit, the copies of a class among them."""
-    members, links = similar(articles, limit, n)
-    left = members.select(F.col("rep").alias("a"), F.col("id").alias("u"))
-    right = members.select(F.col("rep").alias("b"), F.col("id").alias("v"))
-    cross = stored(links, "links").join(left, "a").join(right, "b").select("u", "v")
-    own = left.join(right, left["a"] == right["b"]).where("u < v").select("u", "v")
-    return cross.union(own).select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))
-
-
 def classes(articles: DataFrame, limit: float = 0.8, n: int = 5) -> DataFrame:
     """(id, rep, copies, links): one row per article with its class, the class's size and the representative's links."""
     members, links = similar(articles, limit, n)

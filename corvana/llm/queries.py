@@ -24,6 +24,15 @@ def _pairs_within(classes: DataFrame, cls: str, key: str) -> DataFrame:
     return c.alias("x").join(c.alias("y"), cls).where(f"x.{key} < y.{key}").select(F.col(f"x.{key}").alias("id_a"), F.col(f"y.{key}").alias("id_b"))
 
 
+def _copy_pairs(articles: DataFrame, limit: float = 0.7, n: int = 3) -> DataFrame:
+    """Pairs of articles at or above the limit, from the classes of equal texts and the links between these."""
+    members, links = near_copies.similar(articles, limit, n)
+    left = members.select(F.col("rep").alias("a"), F.col("id").alias("u"))
+    right = members.select(F.col("rep").alias("b"), F.col("id").alias("v"))
+    cross = stored(links, "links").join(left, "a").join(right, "b").select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))
+    return cross.unionByName(_pairs_within(members, "rep", "id"))
+
+
 def _variant_pairs(entities: DataFrame, short_forms: DataFrame) -> DataFrame:
     return _pairs_within(names.entities_of(entities, short_forms), "entity", "id")
 
@@ -34,7 +43,7 @@ def queries() -> dict[str, Query]:
         "p1_stories": _over("articles", main_text.stories),
         "p2_found": _over("articles", subjects.subjects, "article_labels", "subject_areas"),
         "p2_shares": _over("articles", subjects.shares, "article_labels", "subject_areas"),
-        "p3_found": _over("articles", near_copies.pairs),
+        "p3_found": _over("articles", _copy_pairs),
         "p3_classes": _over("articles", near_copies.classes),
         "p4_found": _over("articles", site_lines.repeated_lines),
         "p4_clean": _over("articles", site_lines.without_repeated_lines),

@@ -4,7 +4,7 @@ import unicodedata
 
 import pytest
 
-from corvana.llm import near_copies, site_lines
+from corvana.llm import near_copies, queries, site_lines
 
 
 def plain_repeated(rows, least, share):
@@ -56,9 +56,9 @@ def plain_pairs(rows, limit, n):
 
 def test_pairs_edges(spark, articles):
     rows = [(r["id"], r["title"], r["content"]) for r in articles.collect()]
-    got = [tuple(r) for r in near_copies.pairs(articles).collect()]
+    got = [tuple(r) for r in queries._copy_pairs(articles).collect()]
     assert set(got) == plain_pairs(rows, 0.7, 3) and len(got) == len(set(got)) and (5, 6) in got
-    assert near_copies.pairs(articles.limit(0)).count() == 0
+    assert queries._copy_pairs(articles.limit(0)).count() == 0
 
 
 def test_pairs_random_with_a_hot_group(spark):
@@ -73,7 +73,7 @@ def test_pairs_random_with_a_hot_group(spark):
             rows.append((len(rows), "t", " ".join(w)))
     df = spark.createDataFrame(rows, "id long, title string, content string")
     want = plain_pairs(rows, 0.7, 3)
-    got = {tuple(r) for r in near_copies.pairs(df).collect()}
+    got = {tuple(r) for r in queries._copy_pairs(df).collect()}
     assert got <= want and len(got) >= 0.998 * len(want)
     c = {r["id"]: r for r in near_copies.classes(df, 0.8, 5).collect()}
     assert set(c) == {r[0] for r in rows} and all(c[r["rep"]]["rep"] == r["rep"] for r in c.values())
