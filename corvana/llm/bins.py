@@ -8,7 +8,7 @@ exchanged one for one or two for one with smaller documents of a fuller bin, unt
 A group leaves one underfull bin on average, that is group * mean size / capacity bins to one.
 
 Defined results: null and empty texts have 0 tokens and lie in a container like any other; repeated rows are items of
-their own; null ids are packed too; an empty table gives no containers; extra columns are ignored.
+their own, each full part in a container of its own; null ids are packed too; an empty table gives no containers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ def first_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = 6) -> list[list[int]]:
-    """Local search on the underfull bins; every accepted step raises the sum of squared fills."""
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search on the underfull bins until no step is left; every accepted step raises the sum of squared fills."""
     fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    changed = True
+    while changed:
         changed = False
         order = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
         for at, low in enumerate(order):
@@ -60,16 +61,15 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int
                         for j in own:  # one for one
                             if least <= sizes[j] < sizes[i] and sizes[i] - sizes[j] > gain:
                                 gain, give = sizes[i] - sizes[j], [j]
-                        if len(own) <= 48:  # two for one; larger bins hold only small items, which fit one for one
-                            lo, hi = 0, len(own) - 1
-                            while lo < hi:
-                                two = sizes[own[lo]] + sizes[own[hi]]
-                                if two < least:
-                                    lo += 1
-                                else:
-                                    if two < sizes[i] and sizes[i] - two > gain:
-                                        gain, give = sizes[i] - two, [own[lo], own[hi]]
-                                    hi -= 1
+                        lo, hi = 0, len(own) - 1  # two for one
+                        while lo < hi:
+                            two = sizes[own[lo]] + sizes[own[hi]]
+                            if two < least:
+                                lo += 1
+                            else:
+                                if two < sizes[i] and sizes[i] - two > gain:
+                                    gain, give = sizes[i] - two, [own[lo], own[hi]]
+                                hi -= 1
                     if gain > 0:
                         bins[low].remove(i)
                         for j in give:
@@ -80,8 +80,6 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int
                         fill[low] -= gain
                         changed = True
                         break
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -91,12 +89,12 @@ def packed(documents: DataFrame, capacity: int = 2048, group: int = 4000, seed:
     parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity))
     items = sized.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
     items = items.withColumn("tokens", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("part") * capacity))
-    items = stored(items.withColumn("full", F.col("tokens") == capacity), "items")
+    items = stored(items.withColumns({"full": F.col("tokens") == capacity, "u": F.monotonically_increasing_id()}), "items")
     small = items.where(~F.col("full"))
     groups = max(1, round(small.count() / group))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["tokens", "doc_id", "part", "u"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         sizes = pdf["tokens"].tolist()
         bins = improve(first_fit(sizes, capacity), sizes, capacity)
         name, left = [""] * len(sizes), [0] * len(sizes)
@@ -107,9 +105,9 @@ def packed(documents: DataFrame, capacity: int = 2048, group: int = 4000, seed:
         return pdf.assign(container=name, space_left=left)[["doc_id", "part", "tokens", "container", "space_left"]]
 
     schema = "doc_id long, part int, tokens long, container string, space_left long"
-    spread = small.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "part"), F.lit(groups)).cast("int"))
-    shared = spread.groupBy("g").applyInPandas(pack, schema)
-    alone = items.where("full").select("doc_id", "part", "tokens", F.format_string("f%d-%d", "doc_id", "part").alias("container"), F.lit(0).cast("long").alias("space_left"))
+    spread = small.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "part", "u"), F.lit(groups)).cast("int"))
+    shared = spread.repartition(groups, "g").groupBy("g").applyInPandas(pack, schema)  # a number of its own, so that small groups are not put into one task
+    alone = items.where("full").select("doc_id", "part", "tokens", F.format_string("f%d", "u").alias("container"), F.lit(0).cast("long").alias("space_left"))
     return shared.unionByName(alone)
 
 

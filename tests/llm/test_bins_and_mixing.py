@@ -81,3 +81,21 @@ def test_mixing(spark):
     assert mixing.uses(d.limit(0), t).count() == 0 and mixing.shares(d, t.limit(0)).count() == 0
     same = {(r["doc_id"], r["repeats"]) for r in mixing.uses(d, t, floor=0.3).collect()}
     assert same == {(r["doc_id"], r["repeats"]) for r in used}
+
+
+def test_two_for_one_in_bins_of_many_items():
+    """A bin of more than 48 items gives two of them for one larger item."""
+    sizes = [1] * 48 + [30] + [20, 20] + [45]
+    start = [list(range(51)), [51]]
+    assert sum(sizes[i] for i in start[0]) == 118
+    end = bins.improve([list(b) for b in start], sizes, 123)
+    assert sorted(i for b in end for i in b) == list(range(52))
+    assert max(sum(sizes[i] for i in b) for b in end) == 123
+
+
+def test_rows_with_one_id_lie_in_containers_of_their_own(spark):
+    d = docs(spark, [(1, "dài " * 3000, "vi", "A", "x"), (1, "dài " * 3000, "vi", "A", "x"), (None, "dài " * 3000, "vi", "A", "x"), (None, "dài " * 3000, "vi", "A", "x")])
+    by = {}
+    for r in bins.packed(d, 512).collect():
+        by[r["container"]] = by.get(r["container"], 0) + r["tokens"]
+    assert max(by.values()) <= 512
