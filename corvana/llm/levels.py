@@ -27,6 +27,8 @@ from corvana.functions.arrow import map_batches
 
 LISTS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Bits of each of the three counts summed as one number: more words than any text that fits in memory has.
+FIELD, ONES = 48, (1 << 48) - 1
 _MARKS = frozenset(".!?…")
 _QUOTES = "\"'”’»)]"
 
@@ -56,14 +58,14 @@ def counted(text: str, familiar: frozenset, stores: dict, key) -> tuple[int, int
     """(words, words outside the list, sentences): a sentence ends at a sentence mark or with its line."""
     store = stores.get(key)
     if store is None:
-        store = stores[key] = Chunks(lambda ws, closed: len(ws) + (sum(w not in familiar for w in ws) << 24) + (closed << 48) if ws else closed << 48)
+        store = stores[key] = Chunks(lambda ws, closed: len(ws) + (sum(w not in familiar for w in ws) << FIELD) + (closed << 2 * FIELD))
     whole = open_lines = 0
     for line in text.split("\n"):
         chunks = line.split()
         if chunks:
             whole += sum(map(store.__getitem__, chunks))
-            open_lines += not store[chunks[-1]] >> 48
-    return whole & 0xFFFFFF, whole >> 24 & 0xFFFFFF, (whole >> 48) + open_lines
+            open_lines += not store[chunks[-1]] >> 2 * FIELD
+    return whole & ONES, whole >> FIELD & ONES, (whole >> 2 * FIELD) + open_lines
 
 
 class _Frequencies:
@@ -188,7 +190,7 @@ def levels(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, e
             out["shares"].append((np.searchsorted(v, np.array(LISTS), "left") / max(1, len(v))).tolist())
         return out
 
-    sample = map_batches(docs.join(known, "doc_id").dropDuplicates(["doc_id"]).select("text", "level"), measure, "level int, lang string, shares array<double>, length double")
+    sample = map_batches(docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("text", "level"), measure, "level int, lang string, shares array<double>, length double")
     rows = sample.collect()  # at most most_labels rows of numbers
     models: dict[str, dict] = {}
     if rows:

@@ -75,13 +75,13 @@ def pairs_of(found: list[list[str]], words: dict) -> tuple[np.ndarray, np.ndarra
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """(id, mask, fit, pairs, ends): every document as the hashes of its word pairs; texts are read once, here."""
+    """(id, fit, pairs, ends): every document as the hashes of its word pairs; texts are read once, here."""
 
     def code(words, cols):
         got = [pairs_of(sentences(t), words) for t in cols["text"]]
-        return {"id": cols["id"], "mask": cols["mask"], "fit": cols["fit"], "pairs": [p.tobytes() for p, _ in got], "ends": [e.tobytes() for _, e in got]}
+        return {"id": cols["id"], "fit": cols["fit"], "pairs": [p.tobytes() for p, _ in got], "ends": [e.tobytes() for _, e in got]}
 
-    return map_batches(docs.select("id", "mask", "fit", "text"), code, "id long, mask long, fit long, pairs binary, ends binary", _Words)
+    return map_batches(docs.select("id", "fit", "text"), code, "id long, fit long, pairs binary, ends binary", _Words)
 
 
 class _Frequencies:
@@ -175,15 +175,16 @@ def about(flat, ends, h, w, k: int, enough: float, lead: float) -> list[np.ndarr
 def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: float = 0.005, background: int = 3, rounds: int = 3, steps: int = 3, enough: float = 1.0, lead: float = 0.7, most_labels: int = 20_000) -> DataFrame:
     """(article_id, subject): every subject with at least `share` of an article's sentences about any subject."""
     spark = articles.sparkSession
-    codes = sorted({r[0] for r in areas.select("subject").where("subject is not null").distinct().limit(63).collect()})  # the fixed list of areas
+    codes = sorted({r[0] for r in areas.select("subject").where("subject is not null").distinct().limit(64).collect()})  # the fixed list of areas
+    if len(codes) > 63:
+        raise ValueError("more than 63 subjects: their sets no longer fit into the bits of a long")
     k = len(codes)
     bit = F.create_map(*[x for i, c in enumerate(codes) for x in (F.lit(c), F.lit(1 << i))]) if codes else None
     known = labels.where("article_id is not null and subject is not null").where(F.col("subject").isin(codes))
     known = known.groupBy(F.col("article_id").alias("id")).agg(F.bit_or(bit[F.col("subject")]).cast("long").alias("mask")) if codes else labels.select(F.col("article_id").alias("id"), F.lit(None).cast("long").alias("mask")).limit(0)
     known = stored(known, "labels")
-    fit = known.orderBy(F.xxhash64(F.lit(3), "id")).limit(most_labels).select("id", F.col("mask").alias("fit"))  # what the factors are fitted on; all of them are kept
-    known = stored(known.join(fit, "id", "left"), "labels")
-    docs = articles.select(F.col("id").alias("id"), F.col("content").alias("text")).where(F.col("id").isNotNull() & (F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")).join(known, "id", "left")
+    fit = stored(known.orderBy(F.xxhash64(F.lit(3), "id")).limit(most_labels).select("id", F.col("mask").alias("fit")), "fit")  # what the factors are fitted on: at most most_labels rows
+    docs = articles.select(F.col("id").alias("id"), F.col("content").alias("text")).where(F.col("id").isNotNull() & (F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")).join(F.broadcast(fit), "id", "left")
     matrix = stored(coded(docs), "matrix")
     terms = vocabulary(matrix, least)
     v = max(1, len(terms))
@@ -247,10 +248,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
         h, _r = h_step(row, term, n, allow, wb.value, 3 * steps)
         counts = about(flat, ends, h, wb.value, k, enough, lead)
         for i, c in enumerate(counts):
-            m = cols["mask"][i]
-            if m is not None:
-                mine = [j for j in range(k) if m >> j & 1]
-            elif c.sum():
+            if c.sum():
                 mine = np.flatnonzero(c >= share * c.sum() - 1e-9).tolist() or [int(c.argmax())]
             else:
                 mine = [int(h[i, :k].argmax())] if len(flat[i]) and k else []
@@ -258,7 +256,11 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
             subs += [codes[j] for j in mine]
         return {"article_id": ids, "subject": subs} if ids else None
 
-    return map_batches(matrix, name, "article_id long, subject string", rows=400).distinct()
+    found = map_batches(matrix, name, "article_id long, subject string", rows=400)
+    # given labels are kept as they are, however many; only ids and codes are shuffled for it
+    given = known.select(F.col("id").alias("article_id"), "mask").join(matrix.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    given = given.select("article_id", F.explode(F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate(codes)]))).alias("subject")) if codes else given.select("article_id", F.lit("").alias("subject")).limit(0)
+    return found.join(known.select(F.col("id").alias("article_id")), "article_id", "left_anti").unionByName(given).distinct()
 
 
 def shares(articles: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:

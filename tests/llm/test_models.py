@@ -164,3 +164,16 @@ def test_repetition_within_a_small_source(spark):
     got = main_text.repetition(main_text.lines_by_page(pages), len(rows), 1 / 2500)
     key = main_text._key(main_text.lines_of("Danh mục nhỏ", "nhỏ")[0][2])
     assert [r["level"] for r in got.where(F.col("k") == key).collect()] == [3]
+
+
+def test_counts_do_not_overflow():
+    text = "một hai lạ. " * 6_000_000
+    assert levels.counted(text, frozenset(["một", "hai"]), {}, "") == (18_000_000, 6_000_000, 6_000_000)
+
+
+def test_more_than_63_subjects_are_refused(spark):
+    areas = spark.createDataFrame([(f"s{i}",) for i in range(64)], "subject string")
+    df = spark.createDataFrame([(1, "một câu.")], "id long, content string")
+    lab = spark.createDataFrame([(1, "s1")], "article_id long, subject string")
+    with pytest.raises(ValueError):
+        subjects.subjects(df, lab, areas)
