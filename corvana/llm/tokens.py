@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,11 @@ class Counter(dict):
 def counted(documents: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """`keep` columns and `tokens`: the text's length in tokens; null and empty texts have 0."""
     types = dict(documents.dtypes)
+    documents.sparkSession.sparkContext.addFile(path)  # once a session; executors need no copy of their own
+    name = os.path.basename(path)
 
     def count(counter, cols):
         return {**{k: cols[k] for k in keep}, "tokens": [counter.count(t) for t in cols[text]]}
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keep) + ", tokens long"
-    return map_batches(documents.select(*[F.col(k) for k in dict.fromkeys([*keep, text])]), count, schema, lambda: Counter(path))
+    return map_batches(documents.select(*[F.col(k) for k in dict.fromkeys([*keep, text])]), count, schema, lambda: Counter(SparkFiles.get(name)))
