@@ -121,21 +121,36 @@ def vocabulary(matrix: DataFrame, least: float) -> np.ndarray:
     return np.array(sorted(r["term"] for r in rows), np.uint32)
 
 
-def _batch(cols: dict, terms: np.ndarray, k: int, b: int):
-    """Known terms and sentence ends by document; flattened counts (row, term, n); allowed components."""
+def weighed(matrix: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(id, fit, flat, ends, term, n): the known terms of every document in order, where its sentences end among them, and
+    its row of the document-term matrix. Read by every round."""
     v = max(1, len(terms))
-    flat, ends = [], []
-    for p, e in zip(cols["pairs"], cols["ends"]):
-        p, e = np.frombuffer(p, np.uint32), np.frombuffer(e, np.int32)
-        at = np.minimum(np.searchsorted(terms, p), v - 1)
-        known = terms[at] == p if len(terms) else np.zeros(len(p), bool)
-        flat.append(at[known])
-        ends.append(np.concatenate(([0], np.cumsum(known)))[e])
-    row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
-    key, n = np.unique(row.astype(np.int64) * v + (np.concatenate(flat) if flat else np.zeros(0, np.int64)), return_counts=True)
-    mask = np.array([(1 << k) - 1 if m is None else m for m in cols["fit"]])
-    allow = np.c_[(mask[:, None] >> np.arange(k)) & 1, np.ones((len(flat), b), int)].astype(np.float32)
-    return flat, ends, key // v, key % v, n.astype(np.float32), allow
+
+    def weigh(_, cols):
+        out = {"id": cols["id"], "fit": cols["fit"], "flat": [], "ends": [], "term": [], "n": []}
+        for p, e in zip(cols["pairs"], cols["ends"]):
+            p, e = np.frombuffer(p, np.uint32), np.frombuffer(e, np.int32)
+            at = np.minimum(np.searchsorted(terms, p), v - 1).astype(np.int32)
+            known = terms[at] == p if len(terms) else np.zeros(len(p), bool)
+            flat = at[known]
+            term, n = np.unique(flat, return_counts=True)
+            out["flat"].append(flat.tobytes())
+            out["ends"].append(np.concatenate(([0], np.cumsum(known)))[e].astype(np.int32).tobytes())
+            out["term"].append(term.tobytes())
+            out["n"].append(n.astype(np.float32).tobytes())
+        return out
+
+    return map_batches(matrix, weigh, "id long, fit long, flat binary, ends binary, term binary, n binary")
+
+
+def _batch(cols: dict, k: int, b: int):
+    """Flattened counts (row, term, n) of a batch; allowed components."""
+    size = [len(t) // 4 for t in cols["term"]]
+    row = np.repeat(np.arange(len(size)), size)
+    term, n = np.frombuffer(b"".join(cols["term"]), np.int32), np.frombuffer(b"".join(cols["n"]), np.float32)
+    mask = np.array([(1 << k) - 1 if m is None else m for m in cols["fit"]], np.int64)
+    allow = np.c_[(mask[:, None] >> np.arange(k)) & 1, np.ones((len(size), b), int)].astype(np.float32)
+    return row, term, n, allow
 
 
 def h_step(row, term, n, allow, w, steps: int):
@@ -172,7 +187,7 @@ def about(flat, ends, h, w, k: int, enough: float, lead: float) -> list[np.ndarr
     return out
 
 
-def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: float = 0.005, background: int = 3, rounds: int = 3, steps: int = 3, enough: float = 1.0, lead: float = 0.7, most_labels: int = 20_000) -> DataFrame:
+def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: float = 0.005, background: int = 3, rounds: int = 4, steps: int = 4, enough: float = 1.0, lead: float = 0.7, most_labels: int = 20_000) -> DataFrame:
     """(article_id, subject): every subject with at least `share` of an article's sentences about any subject."""
     spark = articles.sparkSession
     codes = sorted({r[0] for r in areas.select("subject").where("subject is not null").distinct().limit(64).collect()})  # the fixed list of areas
@@ -184,10 +199,11 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
     known = known.groupBy(F.col("article_id").alias("id")).agg(F.bit_or(bit[F.col("subject")]).cast("long").alias("mask")) if codes else labels.select(F.col("article_id").alias("id"), F.lit(None).cast("long").alias("mask")).limit(0)
     known = stored(known, "labels")
     fit = stored(known.orderBy(F.xxhash64(F.lit(3), "id")).limit(most_labels).select("id", F.col("mask").alias("fit")), "fit")  # what the factors are fitted on: at most most_labels rows
-    docs = articles.select(F.col("id").alias("id"), F.col("content").alias("text")).where(F.col("id").isNotNull() & (F.trim(F.regexp_replace("content", r"(?U)\s+", " ")) != "")).join(F.broadcast(fit), "id", "left")
+    docs = articles.select(F.col("id").alias("id"), F.col("content").alias("text")).where(F.col("id").isNotNull() & F.col("content").rlike(r"(?U)\S")).join(F.broadcast(fit), "id", "left")
     matrix = stored(coded(docs), "matrix")
     terms = vocabulary(matrix, least)
     v = max(1, len(terms))
+    matrix = stored(weighed(matrix, terms), "weighed")
 
     def sums(w, first: bool):
         """One round: the W-step's numerators over all documents, by term."""
@@ -202,24 +218,25 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
                 return {"term": at.astype(np.int32), "x": list(self.x[at])} if len(at) else None
 
         def step(state, cols):
-            _, _, row, term, n, allow = _batch(cols, terms, k, background)
+            row, term, n, allow = _batch(cols, k, background)
             if first:  # seeds: labelled documents feed their anchors, all documents the background
                 labelled = np.array([m is not None for m in cols["fit"]])
                 a = allow.copy()
                 a[~labelled, :k] = 0
                 a[:, :k] /= np.maximum(a[:, :k].sum(1, keepdims=True), 1)
-                np.add.at(state.x, term, a[row] * n[:, None])
-                return None
-            h, ratio = h_step(row, term, n, allow, wb.value, steps)
-            weight = np.where([m is not None for m in cols["fit"]], 4.0, 1.0)  # anchors pull more than other documents
+                add = a[row] * n[:, None]
+            else:
+                h, ratio = h_step(row, term, n, allow, wb.value, steps)
+                weight = np.where([m is not None for m in cols["fit"]], 4.0, 1.0)  # anchors pull more than other documents
+                add = h[row] * (ratio * weight[row])[:, None]
             order = np.argsort(term, kind="stable")
             t = term[order]
             if len(t):
                 at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                state.x[t[at]] += np.add.reduceat((h[row] * (ratio * weight[row])[:, None])[order], at, axis=0)
+                state.x[t[at]] += np.add.reduceat(add[order], at, axis=0)
             return None
 
-        got = map_batches(matrix, step, "term int, x array<double>", Sums, rows=400)
+        got = map_batches(matrix.select("fit", "term", "n"), step, "term int, x array<double>", Sums, rows=400)
         by = got.groupBy("term").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k + background)])
         out = np.zeros((v, k + background))
         for r in by.collect():  # one row per term
@@ -227,11 +244,9 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
         return out
 
     w = np.zeros((v, k + background), np.float32)
-    if len(terms) and k:
-        seed = sums(None, True)
-        if not seed[:, :k].any():  # nothing to fit on: only the labelled articles have subjects
-            terms, seed = terms[:0], None
-    if len(terms) and k:
+    seed = sums(None, True) if len(terms) and k else np.zeros((v, k + background))
+    fitted = bool(seed[:, :k].any())  # else only the labelled articles have subjects
+    if fitted:
         base = seed[:, k:] / max(seed[:, k].sum(), 1e-9)
         anchored = seed[:, :k] / np.maximum(seed[:, :k].sum(0), 1e-9)
         rng = np.random.default_rng(9)
@@ -244,7 +259,8 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
 
     def name(_, cols):
         ids, subs = [], []
-        flat, ends, row, term, n, allow = _batch(cols, terms, k, background)
+        row, term, n, allow = _batch(cols, k, background)
+        flat, ends = [np.frombuffer(x, np.int32) for x in cols["flat"]], [np.frombuffer(x, np.int32) for x in cols["ends"]]
         h, _r = h_step(row, term, n, allow, wb.value, 3 * steps)
         counts = about(flat, ends, h, wb.value, k, enough, lead)
         for i, c in enumerate(counts):
@@ -256,7 +272,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
             subs += [codes[j] for j in mine]
         return {"article_id": ids, "subject": subs} if ids else None
 
-    found = map_batches(matrix, name, "article_id long, subject string", rows=400)
+    found = map_batches(matrix if fitted else matrix.where("false"), name, "article_id long, subject string", rows=400)
     # given labels are kept as they are, however many; only ids and codes are shuffled for it
     given = known.select(F.col("id").alias("article_id"), "mask").join(matrix.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     given = given.select("article_id", F.explode(F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate(codes)]))).alias("subject")) if codes else given.select("article_id", F.lit("").alias("subject")).limit(0)
