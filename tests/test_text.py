@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvana.functions import dates as D
 from corvana.functions import text as T
-from corvana.operators.boilerplate import is_boilerplate, strip_boilerplate
+from corvana.operators import boilerplate as B
 
 
 def one(spark, value, fn, kind="string"):
@@ -52,15 +52,17 @@ def test_question_range(spark):
     assert got == {q: (a, b) for q, a, b in rows}
 
 
-def test_boilerplate_lines():
-    assert is_boilerplate("Nội dung: An | Thiết kế: Bình | VCBS")
-    assert is_boilerplate("(Theo Reuters)") and is_boilerplate("Trần Văn Nam") and is_boilerplate("BBC")
-    assert not is_boilerplate("Giá vàng hôm nay tăng mạnh so với hôm qua.") and not is_boilerplate("Theo " + "x" * 200)
+def test_boilerplate_lines(spark):
+    want = {"Nội dung: An | Thiết kế: Bình | VCBS": True, "(Theo Reuters)": True, "Trần Văn Nam": True, "BBC": True, "Giá vàng hôm nay tăng mạnh so với hôm qua.": False, "Theo " + "x" * 200: False}
+    df = spark.createDataFrame([(k,) for k in want], "line string")
+    assert {r[0]: r[1] for r in df.select("line", B.is_boilerplate(F.col("line"), B.source_terms(F.lit(None).cast("string")))).collect()} == want
 
 
-def test_boilerplate_article():
-    assert strip_boilerplate("Một câu dài về giá vàng.\nCâu hai.\n\nẢnh: Nam\n\nTheo Reuters") == "Một câu dài về giá vàng. Câu hai."
-    assert strip_boilerplate(None) is None and strip_boilerplate("Theo BBC") == ""
+def test_boilerplate_article(spark):
     tail = "\n\n".join(["Chuyện chính của bài."] + [f"Ảnh: {i}x" for i in range(30)])
-    assert strip_boilerplate(tail).count("Ảnh") == 6  # twelve by paragraphs, twelve by lines
-    assert _html.unescape("&amp;") == "&"
+    rows = [("Một câu dài về giá vàng.\nCâu hai.\n\nẢnh: Nam\n\nTheo Reuters", None), (None, "x"), ("Theo BBC", ""), (tail, "x"), ("Câu chính.\r\n\r\n\r\nTin Xa", "Tin Xa / Báo B"), ("Câu. Ảnh: An | Video: Bình", "x"), ("", None)]
+    df = spark.createDataFrame(rows, "content string, source string").select(B.stripped(F.col("content"), F.col("source")))
+    got = [r[0] for r in df.collect()]
+    assert got[:3] == ["Một câu dài về giá vàng. Câu hai.", None, ""]
+    assert got[3].count("Ảnh") == 6  # twelve by paragraphs, twelve by lines
+    assert got[4:] == ["Câu chính.", "Câu.", ""]
