@@ -49,6 +49,8 @@ NO_TYPE, NO_ATTRIBUTE = "CHƯA_XÁC_ĐỊNH", "THUỘC_TÍNH"
 ANCHOR_TYPES = "PERSON ORG LOC JOB EVENT PRODUCT LAW FACILITY VEHICLE AWARD DISEASE SPORT_TEAM WORK_OF_ART LANGUAGE NATIONALITY CRYPTO STOCK_TICKER INDEX TOPIC".split()
 SUPPORTING_TYPES = "MONEY DATE TIME PERCENT PHONE EMAIL URL AGE TEMPERATURE QUANTITY SCORE ADDRESS IDENTIFIER ORDINAL CARDINAL DURATION HASHTAG USERNAME".split()
 WEAK_TYPES = ["ACTION", "TREND", "STATE"]
+#: Types that become nodes of the graph (fixed values).
+GRAPH_TYPES = "PERSON ORG LOC MONEY DATE TIME EVENT PRODUCT LAW PERCENT TEMPERATURE SCORE FACILITY VEHICLE AWARD DISEASE SPORT_TEAM WORK_OF_ART LANGUAGE NATIONALITY CRYPTO ADDRESS IDENTIFIER STOCK_TICKER INDEX TOPIC".split()
 GENERIC_ANCHORS = ("việt nam", "vn", "thế giới", "quốc tế", "trong nước", "ngoài nước")
 GENERIC_FOCUS = ("việt nam", "vn", "thế giới", "quốc tế", "tình hình", "hiện nay", "hôm nay", "hôm qua", "ngày mai")
 TOPIC_SINGLES = frozenset({"ai", "giá", "thuế"})

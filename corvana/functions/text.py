@@ -82,6 +82,11 @@ def compounds(c: Column, phrases: tuple[str, ...] = COMPOUNDS) -> Column:
     return F.array_join(joined, "")
 
 
+def query_cleaned(c: Column, words: frozenset[str] = STOPWORDS) -> Column:
+    """A question as search words: lower case, compounds held together while stop words go. Expects NFC."""
+    return F.replace(without_stopwords(compounds(c), words), F.lit("_"), F.lit(" "))
+
+
 def label(c: Column, labels: dict[str, str], default: str) -> Column:
     m = F.create_map(*[F.lit(v) for kv in labels.items() for v in kv])
     return F.when(c.isNull() | (c == ""), F.lit(default)).otherwise(F.coalesce(m[F.upper(F.trim(c))], F.trim(c)))

@@ -66,7 +66,7 @@ def answer(articles: DataFrame, links: DataFrame, entities: DataFrame, question:
     if clarify:
         return {"answer": "", "sources": [], "clarify": clarify}
     limit = 4 * top_k if day else top_k
-    found = search.hybrid(articles, links, entities, analysis, limit, category=category, from_date=from_date, to_date=to_date)
+    found = search.hybrid(articles, links, entities, analysis, limit, day=day, category=category, from_date=from_date, to_date=to_date)
     order = [F.desc("score"), F.desc("graph_score"), F.desc("keyword_score"), F.col("id")]
     primary = [ner.normal(v) for k in K.ANCHOR_TYPES for v in analysis["entities"][k]]
     if day and primary:

@@ -62,10 +62,15 @@ def best(chunked: DataFrame, key: str, terms: list[str], keywords: list[str], mo
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def holds_focus(focus: list[str]) -> Column:
+    """Whether the title or the content holds one of the focus terms; always, if there are none."""
+    hay = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit(""))))
+    return reduce(lambda a, t: a | hay.contains(t), focus, F.lit(False)) if focus else F.lit(True)
+
+
 def context(results: DataFrame, terms: list[str], keywords: list[str], focus: list[str]) -> DataFrame:
     """(id, context, chunk_text, article columns) for results that hold a focus term and a scoring chunk."""
-    hay = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit(""))))
-    r = results.where(reduce(lambda a, t: a | hay.contains(t), focus, F.lit(False))) if focus else results
+    r = results.where(holds_focus(focus))
     chunked = r.select("*", F.posexplode(micro_chunks(F.col("content"))).alias("chunk_no", "chunk"))
     b = best(chunked, "id", terms, keywords).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk"))).alias("c"))
     j = r.join(b, "id")

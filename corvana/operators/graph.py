@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import constants as K
@@ -20,7 +21,7 @@ def matched(articles: DataFrame, links: DataFrame, entities: DataFrame, terms: l
     return articles.join(hits, "id")
 
 
-def queue(articles: DataFrame, index: DataFrame, signature: str) -> DataFrame:
+def queue(articles: DataFrame, index: DataFrame, signature: str | Column) -> DataFrame:
     """Articles to process: not in the index, under another signature, or changed since."""
     h = articles.where("content is not null").withColumn("hash", content_hash(F.col("title"), F.col("content")))
     i = index.select(F.col("article_id").alias("id"), "extractor_signature", "content_hash", F.lit(True).alias("known"))
@@ -90,7 +91,7 @@ def clear(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     return {n: t.join(ids.select("article_id"), "article_id", "left_anti") for n, t in tables.items()}
 
 
-def keyed_value(rows: DataFrame, key: str, value: str, order: Column) -> DataFrame:
+def keyed_value(rows: DataFrame, key: str | list[str], value: str, order: Column) -> DataFrame:
     """Last value of each key."""
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
@@ -118,3 +119,53 @@ def build(found: DataFrame, relations: DataFrame, attributes: DataFrame, entitie
     a = attributes.select("article_id", low("entity").alias("s"), F.col("entity_type").alias("st"), "attribute_key", "attribute_value")
     values = a.join(n("entity_id", "s", "st"), ["s", "st"]).select("entity_id", "attribute_key", "attribute_value", "article_id").distinct()
     return {"entities": new, "links": links, "relations": edges, "attributes": values}
+
+
+#: Raised whenever the rules of extraction change, so that graphs built under older ones are built anew.
+RULES_VERSION = "2"
+DERIVED = ("article_graph", "entity_relations", "entity_attributes", "article_graph_index")
+INDEX = "article_id long, extractor_signature string, content_hash string, entity_count long, relation_count long, attribute_count long"
+
+
+def rules_signature(lexicon: dict[str, list[str]] | None = None, version: str = RULES_VERSION) -> str:
+    """One hash of the rules' version and the lexicon, whatever the order of its types and phrases."""
+    lines = sorted(f"{k}\t{p}" for k, ps in (lexicon or {}).items() for p in ps)
+    return hashlib.sha256("\n".join([version, *lines]).encode()).hexdigest()
+
+
+def build_mode(full: bool, stored_signature: str | None, signature: str, has_data: bool) -> str:
+    """'reset' (asked for, or the rules have changed), 'backfill' (data without a signature), or 'incremental'."""
+    if full or stored_signature and stored_signature != signature:
+        return "reset"
+    return "backfill" if has_data and not stored_signature else "incremental"
+
+
+def reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The same tables without rows."""
+    return {n: t.limit(0) for n, t in tables.items()}
+
+
+def index_rows(processed: DataFrame, built: dict[str, DataFrame], signature: str) -> DataFrame:
+    """Index rows of the processed articles (id, hash), with the counts of the rows that were written for each."""
+    count = lambda n: built[n].groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    j = processed.select("id", "hash").dropDuplicates(["id"])
+    for n, c in (("links", "entity_count"), ("relations", "relation_count"), ("attributes", "attribute_count")):
+        j = j.join(count(n).withColumnRenamed("n", c), "id", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entity_count", "relation_count", "attribute_count")]
+    return j.select(F.col("id").alias("article_id"), F.lit(signature).alias("extractor_signature"), F.col("hash").alias("content_hash"), *counts)
+
+
+def with_column_updated(rows: DataFrame, column: str, updates: DataFrame, key: str = "id") -> DataFrame:
+    """`column` replaced by the updates' value where they have the key (the smallest, should a key repeat); other rows stay."""
+    u = updates.groupBy(key).agg(F.min(F.struct(column)).alias("_new"))
+    return rows.join(u, key, "left").withColumn(column, F.when(F.col("_new").isNotNull(), F.col("_new")[column]).otherwise(F.col(column))).select(rows.columns)
+
+
+def missing_tables(spark: SparkSession, names: tuple[str, ...] = DERIVED) -> list[str]:
+    """The derived tables that the catalog does not have."""
+    return [n for n in names if not spark.catalog.tableExists(n)]
+
+
+def missing_columns(rows: DataFrame, schema: str) -> list[str]:
+    """Columns of a schema that a table lacks."""
+    return [f.split()[0] for f in schema.split(", ") if f.split()[0] not in rows.columns]

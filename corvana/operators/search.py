@@ -73,9 +73,17 @@ def merge(*batches: DataFrame) -> DataFrame:
     return g.withColumn("score", s).orderBy(F.desc("score"), F.desc("graph_score"), F.desc("keyword_score"), "o").select(CANDIDATE)
 
 
-def hybrid(articles: DataFrame, links: DataFrame, entities: DataFrame, analysis: dict, limit: int = 5, **bounds) -> DataFrame:
-    """Both searches over four times the limit, merged and cut."""
-    terms, weights = list(analysis["search_terms"]), dict(analysis["term_weights"])
+def with_date_terms(terms: list[str], weights: dict[str, float], day: dt.date | None, least: float = 2.5) -> tuple[list[str], dict[str, float]]:
+    """Terms and weights with the day's spellings added, each at `least` or at the weight that it already has, if larger."""
+    if day is None:
+        return terms, weights
+    more = variants(day)
+    return [*terms, *(v for v in more if v not in terms)], weights | {v: max(weights.get(v, 0.0), least) for v in more}
+
+
+def hybrid(articles: DataFrame, links: DataFrame, entities: DataFrame, analysis: dict, limit: int = 5, day: dt.date | None = None, **bounds) -> DataFrame:
+    """Both searches over four times the limit, merged and cut. A day's spellings count as terms."""
+    terms, weights = with_date_terms(list(analysis["search_terms"]), dict(analysis["term_weights"]), day)
     if not terms:
         return keyword_search(articles, ["\0"], {}, 0)
     g = graph_search(articles, links, entities, terms, weights, max(4 * limit, limit), **bounds)

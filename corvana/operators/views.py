@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvana.functions import constants as K
+from corvana.operators.boilerplate import stripped
 from corvana.functions.text import label
 
 
@@ -149,3 +150,32 @@ def attributes_of_articles(attributes: DataFrame, entities: DataFrame, limit: in
     m = F.create_map(*[F.lit(v) for kv in {**K.TYPE_LABELS, **K.ATTRIBUTE_LABELS}.items() for v in kv])
     named = F.when(F.col("attribute_key").isNull() | (F.col("attribute_key") == ""), F.lit(K.NO_ATTRIBUTE)).otherwise(F.coalesce(m[key], key))
     return a.select("article_id", "entity", label(F.col("type"), K.TYPE_LABELS, K.NO_TYPE).alias("entity_type"), named.alias("attribute_key"), "attribute_value")
+
+
+def statistics(articles: DataFrame) -> DataFrame:
+    """(what, name, n): the total, and the counts by source and by category, in one table."""
+    one = total(articles).select(F.lit("total").alias("what"), F.lit(None).cast("string").alias("name"), F.col("total").alias("n"))
+    by = lambda df, c: df.select(F.lit(c).alias("what"), F.col(c).alias("name"), "n")
+    return one.unionByName(by(count_by_source(articles), "source")).unionByName(by(count_by_category(articles), "category"))
+
+
+def article_by_id(articles: DataFrame, article_id: int) -> DataFrame:
+    """One article that is no upload, its content without boilerplate; no row if there is none."""
+    a = articles.where(F.col("id") == article_id).where(not_uploaded())
+    return a.withColumn("content", stripped(F.col("content"), F.col("source"))).limit(1)
+
+
+def named(entities: DataFrame, names: list[str]) -> DataFrame:
+    """Entities by their lower-cased names."""
+    return entities.where(F.lower("name").isin(names))
+
+
+def relation_ends(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(relation columns, subject, relation, object): both ends by name, the relation's type as a code."""
+    end = lambda key, name: entities.select(F.col("id").alias(key), F.col("name").alias(name))
+    return relations.join(end("subject_id", "subject"), "subject_id").join(end("object_id", "object"), "object_id").withColumn("relation", F.upper(F.replace("relation_type", F.lit(" "), F.lit("_"))))
+
+
+def linked_entities(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """(article_id, entity_id, name, type) of every link."""
+    return links.join(entities.select(F.col("id").alias("entity_id"), "name", "type"), "entity_id").select("article_id", "entity_id", "name", "type")

@@ -178,8 +178,8 @@ _HASH = "sha256(coalesce(a.title, '') || chr(10) || coalesce(a.content, ''))"
 )
 def _(t):
     i = t("article_graph_index")
-    s = i.agg(F.max("extractor_signature")).first()[0] or ""
-    return G.queue(t("articles"), i, s).select("id").distinct()
+    latest = i.agg(F.max("extractor_signature").alias("latest"))  # one row
+    return G.queue(t("articles").crossJoin(F.broadcast(latest)), i, F.col("latest")).select("id").distinct()
 
 
 _COUNTS = " ".join(f"LEFT JOIN (SELECT article_id, count(*) AS {n} FROM {x} GROUP BY 1) {n}_ ON a.id = {n}_.article_id" for x, n in (("article_graph", "ec"), ("entity_relations", "rc"), ("entity_attributes", "ac")))
@@ -332,9 +332,9 @@ def _(t):
 _DAYS = " OR ".join(f"lower(coalesce(title, '') || chr(10) || coalesce(content, '')) LIKE '%{v}%'" for v in D.variants(DAY, wide=True))
 
 
-@query("l9_prefer_day", f"SELECT id, coalesce({_DAYS}, false) AS mentions FROM articles ORDER BY mentions DESC, id LIMIT 200")
+@query("l9_prefer_day", f"SELECT id, coalesce({_DAYS}, false) AS mentions FROM articles ")
 def _(t):
-    return S.prefer_day(t("articles"), DAY, ["id", "collected_at"]).select("id", "mentions").limit(200)
+    return S.prefer_day(t("articles"), DAY, ["id", "collected_at"]).select("id", "mentions")
 
 
 # ---- text functions
@@ -342,9 +342,9 @@ def _(t):
 _W = r"[^\p{L}\p{N}\p{M}_\s]"
 
 
-@query("t1_match_form", rf"SELECT id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(title)), '{_W}', ' ', 'g'), '\s+', ' ', 'g')) AS form FROM articles")
+@query("t1_match_form", rf"SELECT id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(content)), '{_W}', ' ', 'g'), '\s+', ' ', 'g')) AS form FROM articles")
 def _(t):
-    return t("articles").select("id", T.match_form(T.nfc("title")).alias("form"))
+    return t("articles").select("id", T.match_form(T.nfc("content")).alias("form"))
 
 
 @query("t2_nfc", "SELECT id, sha256(nfc_normalize(content)) AS h FROM articles")
@@ -367,14 +367,14 @@ def _(t):
     return t("articles").select("id", T.plain_letters(T.nfc("content")).alias("plain"))
 
 
-@query("t9_without_stopwords", "SELECT id, array_to_string(list_filter(string_split_regex(trim(title), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN (" + ", ".join(lit(w) for w in sorted(K.STOPWORDS)) + ")), ' ') AS kept FROM articles WHERE title IS NOT NULL")
+@query("t9_without_stopwords", "SELECT id, array_to_string(list_filter(string_split_regex(trim(content, ' '), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN (" + ", ".join(lit(w) for w in sorted(K.STOPWORDS)) + ")), ' ') AS kept FROM articles WHERE content IS NOT NULL")
 def _(t):
-    return t("articles").where("title is not null").select("id", T.without_stopwords(F.col("title")).alias("kept"))
+    return t("articles").where("content is not null").select("id", T.without_stopwords(F.col("content")).alias("kept"))
 
 
 @query("t7_compounds")
 def _(t):
-    return t("articles").select("id", T.compounds(T.nfc("title")).alias("joined"))
+    return t("articles").select("id", T.compounds(T.nfc("content")).alias("joined"))
 
 
 @query("t10_cleaned")
@@ -501,13 +501,12 @@ def _(t):
     return N.phrase_hits(t("articles").select("id", T.nfc("content").alias("content")).distinct(), "id", "content", names).distinct()
 
 
-_INTENT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{N}}_])(?:{p})($|[^\\p{{L}}\\p{{N}}_])') THEN '{n}' END" for n, p in K.INTENTS) + "], lambda x: x IS NOT NULL), ',')"
+_INTENT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(nfc_normalize(title)), '(^|[^\\p{{L}}\\p{{N}}_])(?:{p})($|[^\\p{{L}}\\p{{N}}_])') THEN '{n}' END" for n, p in K.INTENTS) + "], lambda x: x IS NOT NULL), ',')"
 
 
-@query("n11_intents", f"SELECT id, {_INTENT} AS intents FROM articles WHERE title IS NOT NULL AND title = nfc_normalize(title)")
+@query("n11_intents", f"SELECT id, {_INTENT} AS intents FROM articles WHERE title IS NOT NULL")
 def _(t):
-    a = t("articles").where("title is not null").where(F.col("title") == T.nfc("title"))
-    return a.select("id", F.array_join(N.intents(F.col("title")), ",").alias("intents"))
+    return t("articles").where("title is not null").select("id", F.array_join(N.intents(T.nfc("title")), ",").alias("intents"))
 
 
 @query("n12_residual_keywords")
@@ -539,10 +538,10 @@ def _(t):
 
 # ---- graph build and sinks
 
-@query("g2_unique_entities", "SELECT DISTINCT g.article_id, lower(trim(e.name)) AS name, e.type FROM article_graph g JOIN graph_entities e ON g.entity_id = e.id WHERE length(lower(trim(e.name))) > 2 AND e.type IN ('Tổ chức', 'Địa điểm', 'Cá nhân')")
+@query("g2_unique_entities", "SELECT DISTINCT g.article_id, lower(trim(e.name)) AS name, e.type FROM article_graph g JOIN graph_entities e ON g.entity_id = e.id WHERE length(lower(trim(e.name))) > 2 ")
 def _(t):
     e = t("graph_entities").select(F.col("id").alias("entity_id"), F.col("name").alias("value"), "type")
-    return G.unique_entities(t("article_graph").join(e, "entity_id"), ["Tổ chức", "Địa điểm", "Cá nhân"])
+    return G.unique_entities(t("article_graph").join(e, "entity_id"), ["PERSON", "ORG", "LOC", "SPORT_TEAM", "FACILITY", "PRODUCT", "EVENT", "Cá nhân", "Tổ chức", "Địa điểm", "Đội thể thao", "Cơ sở vật chất", "Sản phẩm", "Sự kiện"])
 
 
 @query("sk2_insert_links", "SELECT DISTINCT article_id, entity_id FROM article_graph g WHERE NOT EXISTS (SELECT 1 FROM article_graph_index i WHERE i.article_id = g.article_id)")
@@ -558,12 +557,12 @@ def _(t):
     return G.numbered(new, t("graph_entities"), ["source", "category"])
 
 
-@query("sk4_last_value", "SELECT entity_id, arg_max(attribute_value, id) AS attribute_value FROM entity_attributes WHERE attribute_key IS NOT NULL AND attribute_value IS NOT NULL GROUP BY entity_id")
+@query("sk4_last_value", "SELECT entity_id, attribute_key, arg_max(attribute_value, id) AS attribute_value FROM entity_attributes WHERE attribute_key IS NOT NULL AND attribute_value IS NOT NULL GROUP BY entity_id, attribute_key")
 def _(t):
-    return G.keyed_value(t("entity_attributes").where("attribute_key is not null and attribute_value is not null"), "entity_id", "attribute_value", F.col("id"))
+    return G.keyed_value(t("entity_attributes").where("attribute_key is not null and attribute_value is not null"), ["entity_id", "attribute_key"], "attribute_value", F.col("id"))
 
 
-_UP = "WITH u AS (SELECT *, substr(link, 1, 500) AS k FROM (SELECT id, title, link, summary, content, published_date, source, category, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY collected_at, created_at) = 1 THEN id * 10 ELSE id * 10 + 1 END AS o FROM articles) WHERE link IS NOT NULL)"
+_UP = "WITH u AS (SELECT *, substr(link, 1, 500) AS k FROM (SELECT id, title, link, summary, content, published_date, source, category, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY collected_at, created_at) = 1 THEN id ELSE 1000000000000 + id END AS o FROM articles) WHERE link IS NOT NULL)"
 
 
 @query(
@@ -576,8 +575,7 @@ def _(t):
 
     w = Window.partitionBy("id").orderBy("collected_at", "created_at")
     a = t("articles").where("link is not null").select("id", "title", "link", "summary", "content", "published_date", "source", "category", F.row_number().over(w).alias("n"))
-    a = a.withColumn("seq", F.when(F.col("n") == 1, F.col("id") * 10).otherwise(F.col("id") * 10 + 1)).drop("n")
-    u = G.upsert_articles(a.drop("seq").limit(0), a)
+    u = G.upsert_articles(a.where("n = 1").drop("n"), a.where("n > 1").withColumn("seq", F.col("id")).drop("n"))  # repeated deliveries meet the first ones
     z = lambda c: F.coalesce(c, F.lit("\0")).alias(c)
     return u.select("id", "link", z("summary"), z("content"), z("source"), "category")
 
@@ -606,7 +604,7 @@ def _(t):
 
     x = stored(N.extract_all(a, "id", "text"), "extracted").withColumnRenamed("id", "article_id")
     found = x.select("article_id", F.inline("entities"))
-    out = G.build(found, x.select("article_id", F.inline("relations")), x.select("article_id", F.inline("attributes")), t("graph_entities"), [k for k in K.ANCHOR_TYPES if k != "TOPIC"])
+    out = G.build(found, x.select("article_id", F.inline("relations")), x.select("article_id", F.inline("attributes")), t("graph_entities"), K.GRAPH_TYPES)
     n = [df.agg(F.lit(k).alias("what"), F.count(F.lit(1)).alias("n")) for k, df in out.items()]
     return n[0].unionByName(n[1]).unionByName(n[2]).unionByName(n[3])
 

@@ -205,3 +205,32 @@ def test_extraction_text_has_no_boilerplate(spark, tmp_path):
 @pytest.mark.parametrize(("text", "found"), [("Ông đến Nga hôm qua.", True), ("tiếng Nga khó", False), ("Bà Nga nói", False), ("gặp Nga Hoàng ở đó", False), ("đi nga", False), ("Nga, Mỹ", True)])
 def test_single_countries(text, found):
     assert ("nga" in N.extract(text, N.Rules())["LOC"]) is found
+
+
+def test_graph_run(spark):
+    from corvana.operators import build
+
+    a = spark.createDataFrame([(1, "Tin", "l", "", "Ông Nguyễn Văn Nam gặp ông Trần Văn Hải ở Hà Nội.", None, "s", None), (2, "Khác", "l", "", "Công ty Sông Xanh ra mắt Galaxy S24 giá 5 triệu đồng.", None, "s", None), (3, None, "l", None, None, None, None, None), (1, "Tin", "l", "", "Ông Nguyễn Văn Nam gặp ông Trần Văn Hải ở Hà Nội.", None, "s", None)], A)
+    empty = {"graph_entities": "id long, name string, type string", "article_graph": "article_id long, entity_id long", "entity_relations": "subject_id long, relation_type string, object_id long, article_id long", "entity_attributes": "entity_id long, attribute_key string, attribute_value string, article_id long", "article_graph_index": G.INDEX}
+    tables = {k: spark.createDataFrame([], v) for k, v in empty.items()}
+    one = build.run(a, tables)
+    assert one["mode"] == "incremental" and one["summary"].first()["processed"] == 2
+    assert {r["name"] for r in one["tables"]["graph_entities"].collect()} >= {"nguyễn văn nam", "trần văn hải", "hà nội"}
+    index = {r["article_id"]: r for r in one["tables"]["article_graph_index"].collect()}
+    links = one["tables"]["article_graph"].groupBy("article_id").count().collect()
+    assert set(index) == {1, 2} and all(index[r["article_id"]]["entity_count"] == r["count"] for r in links)
+    two = build.run(a, one["tables"], stored_signature=one["signature"])
+    assert two["summary"].first()["processed"] == 0 and two["tables"]["article_graph"].count() == one["tables"]["article_graph"].count()
+    three = build.run(a, one["tables"], lexicon={"TOPIC": ["gặp gỡ"]}, stored_signature=one["signature"])
+    assert three["mode"] == "reset" and three["summary"].first()["processed"] == 2
+    assert build.run(a, one["tables"])["mode"] == "backfill"
+    assert G.rules_signature({"A": ["x", "y"], "B": ["z"]}) == G.rules_signature({"B": ["z"], "A": ["y", "x"]}) != G.rules_signature()
+    assert G.missing_columns(a, G.INDEX) == [c.split()[0] for c in G.INDEX.split(", ")] and G.missing_tables(spark) == list(G.DERIVED)
+
+
+def test_date_terms():
+    import datetime as dt
+
+    terms, weights = S.with_date_terms(["a", "1/5"], {"a": 4.0, "1/5": 3.0}, dt.date(2025, 5, 1))
+    assert terms[:2] == ["a", "1/5"] and len(terms) == len(set(terms)) == 7
+    assert weights["1/5"] == 3.0 and weights["01-05"] == 2.5 and S.with_date_terms(["a"], {"a": 1.0}, None) == (["a"], {"a": 1.0})
