@@ -169,22 +169,21 @@ def h_step(row, term, n, allow, w, steps: int):
     return h, n / np.maximum(np.einsum("ij,ij->i", wt, h[row]), 1e-9)
 
 
-def about(flat, ends, h, w, k: int, enough: float, lead: float) -> list[np.ndarray]:
-    """For every document the number of its sentences about each anchored component."""
-    out = []
-    for x, e, hd in zip(flat, ends, h):
-        if not len(x):
-            out.append(np.zeros(k))
-            continue
-        r = w[x] * hd
-        r /= np.maximum(r.sum(1, keepdims=True), 1e-12)
-        c = np.vstack([np.zeros((1, k)), np.cumsum(r[:, :k], 0)])
-        s = np.diff(c[np.r_[0, e]], axis=0)
-        best = s.argmax(1)
-        top = s[np.arange(len(s)), best]
-        ok = (top >= enough) & (top >= lead * s.sum(1))
-        out.append(np.bincount(best[ok], minlength=k).astype(float))
-    return out
+def about(flat: list, ends: list, h, w, k: int, enough: float, lead: float) -> np.ndarray:
+    """For every document (row) the number of its sentences about each anchored component."""
+    size, per = np.array([len(x) for x in flat]), np.array([len(e) for e in ends])
+    x, doc = np.concatenate(flat), np.repeat(np.arange(len(flat)), size)
+    r = w[x] * h[doc]
+    r /= np.maximum(r.sum(1, keepdims=True), 1e-12)
+    c = np.vstack([np.zeros((1, k)), np.cumsum(r[:, :k], 0, dtype=np.float64)])
+    base = np.cumsum(size) - size
+    stop = np.concatenate([e + b for e, b in zip(ends, base)]).astype(np.int64)
+    start = np.concatenate([np.r_[b, e[:-1] + b] if len(e) else e for e, b in zip(ends, base)]).astype(np.int64)
+    s = c[stop] - c[start]
+    best = s.argmax(1) if len(s) else np.zeros(0, np.int64)
+    top = s[np.arange(len(s)), best]
+    ok = (top >= enough) & (top >= lead * s.sum(1))
+    return np.bincount((np.repeat(np.arange(len(flat)), per) * k + best)[ok], minlength=len(flat) * k).reshape(len(flat), k).astype(float)
 
 
 def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: float = 0.25, least: float = 0.005, background: int = 3, rounds: int = 4, steps: int = 4, enough: float = 1.0, lead: float = 0.7, most_labels: int = 20_000) -> DataFrame:
@@ -236,7 +235,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
                 state.x[t[at]] += np.add.reduceat(add[order], at, axis=0)
             return None
 
-        got = map_batches(matrix.select("fit", "term", "n"), step, "term int, x array<double>", Sums, rows=400)
+        got = map_batches(matrix.select("fit", "term", "n"), step, "term int, x array<double>", Sums, rows=100)
         by = got.groupBy("term").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k + background)])
         out = np.zeros((v, k + background))
         for r in by.collect():  # one row per term
@@ -272,7 +271,7 @@ def subjects(articles: DataFrame, labels: DataFrame, areas: DataFrame, share: fl
             subs += [codes[j] for j in mine]
         return {"article_id": ids, "subject": subs} if ids else None
 
-    found = map_batches(matrix if fitted else matrix.where("false"), name, "article_id long, subject string", rows=400)
+    found = map_batches(matrix if fitted else matrix.where("false"), name, "article_id long, subject string", rows=100)
     # given labels are kept as they are, however many; only ids and codes are shuffled for it
     given = known.select(F.col("id").alias("article_id"), "mask").join(matrix.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     given = given.select("article_id", F.explode(F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(c)) for i, c in enumerate(codes)]))).alias("subject")) if codes else given.select("article_id", F.lit("").alias("subject")).limit(0)
