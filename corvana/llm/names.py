@@ -14,7 +14,9 @@ Being ratios, these tests act alike at every size of the table, and only the wor
 Tokens then take roles: words of kind (titles, kinds of company or place), markers (numbers, models, years, branches; they
 must agree), and the core. Candidates: the q-grams and tokens of a form's core, as a set (around the end for persons, so that
 reordered parts keep theirs), ordered by rarity; a pair must share `least` of the larger set, so one of the rarest grams
-(the prefix) of each side must be a rarest gram of the other. The join is an equi-join of the two prefixes within one type.
+(the prefix) of each side must be a rarest gram of the other. The join is an equi-join of the two prefixes within one type
+and one key: whatever `link` accepts has one of its `keys` in common, so no pair is lost by them, and a form whose keys no
+other name has is left out before the join. Common syllables alone therefore make no candidates.
 
 Verification: tokens are aligned in order (persons: in any rotation) and compared softly - equal, equal without marks, a
 slip, or an initial - and weighted by rarity. Kinds agree if their words, their initials or abbreviations agree, or if the
@@ -33,8 +35,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvana.functions.arrow import map_batches
@@ -347,6 +351,49 @@ def grams(form: dict, cls: str, q: int = 5) -> list[str]:
     return sorted(out | {"=" + w for w in words})
 
 
+def keys(form: dict, cls: str) -> list[tuple[str, int]]:
+    """(key, role): two forms that `link` accepts have a key in common whose roles, as bits, make up 3.
+
+    A slip agrees with a word that both tokens may stand for, so each key is also given with one token exchanged for such a
+    word. Persons, by the ways of `link`: the same tokens in any order; the joined letters; the first two tokens (another
+    name: 1, a main form: 2); two full tokens and the letters of all (with initials: 1, without: 2); the tokens in order
+    (the shorter name: 1) and these without a middle one (the longer: 2). Others: the joined core and the markers, for places
+    with the initials of the kind, or (1) without these, for a name that has no kind (3)."""
+    core = form["core"]
+    base = [fold(t["w"]) for t in core]
+    may = [{fold(v) for v in t["v"]} - {b} for t, b in zip(core, base)]
+    rows = [base] + [base[:i] + [v] + base[i + 1 :] for i, vs in enumerate(may) for v in sorted(vs)]
+    out: dict[tuple[str, int], None] = {}
+    if cls != "PERSON":
+        kind = "".join(sorted(_initials(form["kind"]))) if cls == "LOC" else ""
+        for r in rows:
+            x = "".join(r) + "\t" + "\t".join(form["mark"])
+            out[f"c{x}\n{kind}", 3] = None
+            if kind:
+                out[f"c{x}\n", 1] = None
+        return list(out)
+    n, brief = len(core), any(t["w"].endswith(".") for t in core)
+    out["=" + "".join(base), 3] = None
+    if n > 1:
+        for a in {base[0], *may[0]}:
+            for b in {base[1], *may[1]}:
+                out[f"~{n} {a} {b}", 1 if form["alias"] else 2] = None
+    if form["alias"] or n < 2:
+        return list(out)
+    for r in rows:
+        out["s" + " ".join(sorted(r)), 3] = None
+        full = sorted(x for x in r if not x.endswith("."))
+        letters = "".join(sorted(x[:1] for x in r))
+        if n > 2 and len(full) > 1:  # an initial and two full tokens at least
+            for a, b in [full[:2]] if brief else combinations(full, 2):
+                out[f"i{letters} {a} {b}", 1 if brief else 2] = None
+        if n > 2 and not brief:
+            out["d" + " ".join(r), 1] = None
+            for k in range(1, n - 1) if n > 3 else ():
+                out["d" + " ".join(r[:k] + r[k + 1 :]), 2] = None
+    return list(out)
+
+
 # ---- comparing
 
 
@@ -450,6 +497,11 @@ def link(x: dict, y: dict, cls: str, alike: bool = False) -> str | None:
     return kinds(kx, ky, cls) or ("strong" if alike else None)
 
 
+def _hash(s: str) -> int:
+    h = xxhash.xxh64_intdigest(s)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _class(type_: DataFrame):
     t = F.lower(F.trim("type"))
     m = F.create_map(*[F.lit(v) for kv in TYPES.items() for v in kv])
@@ -467,6 +519,20 @@ def _alike(f: DataFrame, times: int, share: float) -> DataFrame:
     return x.unionByName(x.select("cls", F.col("kb").alias("ka"), F.col("ka").alias("kb")))
 
 
+def candidates(f: DataFrame, least: float) -> DataFrame:
+    """(a, na, b, nb): pairs of forms of different rows that have a key and a gram of both prefixes in common."""
+    k = f.select("id", "no", F.explode("keys").alias("k")).select("id", "no", "k.*")
+    met = k.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_or("role").alias("roles")).where("lo < hi and roles = 3").select("key")
+    k = stored(k.join(met, "key"), "keys")
+    df = f.select("cls", F.explode("grams").alias("gram")).groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("df"))  # of all forms
+    g = f.join(k.select("id", "no").distinct(), ["id", "no"], "left_semi").select("id", "no", "cls", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    g = g.join(df, ["cls", "gram"]).groupBy("id", "no", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    g = g.select("id", "no", "n", F.slice(F.col("grams")["gram"], F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1).alias("prefix"))
+    rows = k.join(g, ["id", "no"]).select("id", "no", "key", "role", "n", F.explode("prefix").alias("gram")).select("id", "no", "role", "n", F.xxhash64("key", "gram").alias("at"))
+    pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.at = y.at and x.id < y.id and (x.role | y.role) = 3 and x.n >= {least} * y.n and y.n >= {least} * x.n"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("x.no").alias("na"), F.col("y.id").alias("b"), F.col("y.no").alias("nb")).distinct()
+
+
 def links(entities: DataFrame, short_forms: DataFrame, q: int = 5, least: float = 0.2, most: float = 0.35, ratio: int = 6, times: int = 3, share: float = 0.1) -> DataFrame:
     """(a, b, short): verified pairs of rows; short is null for strong pairs, else the id of the short side. Of the larger
     set, forms with initials share `least`, others `most`."""
@@ -487,7 +553,7 @@ def links(entities: DataFrame, short_forms: DataFrame, q: int = 5, least: float
     told = tokens.join(says, ["cls", "w"]).groupBy("id", "cls").agg(F.sort_array(F.collect_list(F.struct("no", "pos", "how", "w", "says"))).alias("tokens"))
 
     def shape(_, cols):
-        out = {k: [] for k in ("id", "cls", "no", "form", "grams", "phrase", "joined", "brief")}
+        out = {k: [] for k in ("id", "cls", "no", "form", "grams", "phrase", "joined", "brief", "keys")}
         for i, cls, tokens in zip(cols["id"], cols["cls"], cols["tokens"]):
             got: dict[int, tuple[str, list[dict]]] = {}
             for t in tokens:
@@ -497,15 +563,11 @@ def links(entities: DataFrame, short_forms: DataFrame, q: int = 5, least: float
                 out["form"].append(json.dumps(f)), out["phrase"].append(" ".join(f["kind"]))
                 out["brief"].append(any(t["w"].endswith(".") for t in f["core"]))
                 out["joined"].append("".join(fold(t["w"]) for t in f["core"]) + " " + " ".join(f["mark"]))
+                out["keys"].append([{"key": _hash(f"{cls}\t{k}"), "role": role} for k, role in keys(f, cls)])
         return out if out["id"] else None
 
-    f = stored(map_batches(told, shape, "id long, cls string, no int, form string, grams array<string>, phrase string, joined string, brief boolean"), "forms")
-    g = f.select("id", "no", "cls", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    df = g.groupBy("cls", "gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = g.join(df, ["cls", "gram"]).withColumn("rank", F.row_number().over(Window.partitionBy("id", "no").orderBy("df", "gram")))
-    prefix = stored(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "no", "cls", "gram", "n"), "prefix")
-    pairs = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.cls = y.cls and x.gram = y.gram and x.id < y.id and x.n >= {least} * y.n and y.n >= {least} * x.n"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.no").alias("na"), F.col("y.id").alias("b"), F.col("y.no").alias("nb")).distinct()
+    f = stored(map_batches(told, shape, "id long, cls string, no int, form string, grams array<string>, phrase string, joined string, brief boolean, keys array<struct<key: long, role: int>>"), "forms")
+    pairs = candidates(f, least)
     side = lambda i, n, s: f.select(F.col("id").alias(i), F.col("no").alias(n), *([F.col("cls")] if s == "a" else []), F.col("form").alias("f" + s), F.col("grams").alias("g" + s), F.col("phrase").alias("k" + s), F.col("brief").alias("i" + s))
     wide = pairs.join(side("a", "na", "a"), ["a", "na"]).join(side("b", "nb", "b"), ["b", "nb"]).where(F.size(F.array_intersect("ga", "gb")) >= F.greatest(F.size("ga"), F.size("gb")) * F.when(F.col("ia") | F.col("ib"), least).otherwise(most))
     wide = wide.join(_alike(f, times, share).withColumn("alike", F.lit(True)), ["cls", "ka", "kb"], "left")

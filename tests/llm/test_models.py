@@ -138,6 +138,40 @@ def test_names(spark):
     assert queries._variant_pairs(df, short.limit(0)).count() > 0
 
 
+def test_keys_lose_no_link():
+    rng = random.Random(13)
+    near = {"khoc": ("khốc",), "ban": ("bân", "hân"), "trran": ("trần",), "hân": ("bân",)}
+    words = ["trần", "khốc", "bân", "khoc", "ban", "trran", "hân", "lê", "k.", "b."]
+    token = lambda w: {"w": w, "like": w, "v": near.get(w, ()), "g": 1.0}
+    for cls in ("PERSON", "ORG", "LOC"):
+        made = []
+        for _ in range(300):
+            core = [token(rng.choice(words)) for _ in range(rng.choice([1, 2, 3, 3, 4, 4, 5]))]
+            if rng.random() < 0.2:
+                core = [token("".join(names.fold(t["w"]) for t in core))]
+            kind = rng.choice([[], ["xã"], ["thị", "trấn"], ["tt"], ["công", "ty"]]) if cls != "PERSON" else []
+            made.append({"core": core, "kind": kind, "mark": ["2"] * (rng.random() < 0.2) * (cls != "PERSON"), "alias": rng.random() < 0.2})
+        made = [(f, names.keys(f, cls)) for f in made]
+        linked = 0
+        for (x, kx), (y, ky) in itertools.combinations(made, 2):
+            if names.link(x, y, cls):
+                linked += 1
+                assert any(a == b and r | s == 3 for a, r in kx for b, s in ky), (x, y)
+        assert linked > 50
+
+
+def test_common_syllables_make_no_candidates(spark, monkeypatch):
+    fill = ["khốc", "triêu", "ngân", "phương", "trương", "nghiêu", "thanh", "khương"]
+    rows = [(i, "công ty " + " ".join(p), "ORG") for i, p in enumerate(itertools.product(fill, fill, fill))]
+    rows += [(1000 + i, " ".join(p), "PERSON") for i, p in enumerate(itertools.product(fill[:5], fill[:5], fill[5:], "ab"))]
+    df = spark.createDataFrame([*rows, (2000, "công ty khốc triêu ngân", "ORG")], "id long, name string, type string")
+    given, real = [], names.map_batches
+    monkeypatch.setattr(names, "map_batches", lambda d, fn, schema, *more: (given.append(d), real(d, fn, schema, *more))[1])
+    got = names.links(df, spark.createDataFrame(SHORT, "short_form string, full_form string")).collect()
+    assert (10, 2000) in {(r["a"], r["b"]) for r in got}
+    assert given[-1].count() < len(rows)  # the pairs that are verified; all pairs that share enough grams are far more
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [("abc", "abc", True), ("abc", "ab", True), ("abc", "acb", True), ("abc", "xbc", True), ("abcd", "ab", False), ("abc", "cab", False)])
 def test_near(a, b, want):
     assert names.near(a, b) is want and names.near(b, a) is want
