@@ -7,11 +7,12 @@ and how much of its wording recurs in the page's closed sentences; edge potentia
 parent-child pair. Sum-product messages run upward from the leaves and downward from the root and give each line's
 exact marginal probability of being story.
 
-Training: the labelled pages of `page_examples`, and a bounded sample of the corpus (`most_pages`, in the order of a
-seeded hash) in which lines repeated over many pages without wording in common with their page are furniture, sentences
+Training: the labelled pages of `page_examples`, and all pages of the corpus, in which lines repeated over many pages without wording in common with their page are furniture, sentences
 that share wording with their page are story, and all others are hidden; the edge tables are re-estimated from the
 expected counts that the messages give. In training, repetition is withheld from half of the lines so that shape and
-words are learned, and parts of story sentences stand in for headings and list items.
+words are learned, and parts of story sentences stand in for headings and list items. The pages are divided by a hash into
+groups of about `group_pages`, potentials are fitted in each group where it lies, and weights and expected counts are
+averaged over all groups. Which labels lead lists is counted over all pages, too.
 
 Repetition is the number of pages with the line (digits, e-mail addresses and the source's own name unified), over all
 pages. A group of copies of one story repeats its lines too; these share their wording with the rest of their page, which
@@ -30,6 +31,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -260,8 +262,22 @@ def _examples() -> list[tuple[Page, list[int]]]:
     return got
 
 
-def train(pages: list[Page], rounds: int = 3) -> Model:
-    """Potentials from the labelled examples and the partly labelled sample."""
+def _tables(count: dict) -> dict:
+    """Conditional edge tables, divided by the child's own rate: the node model already holds the prior."""
+    prior = np.sum([c for c in count.values()], axis=0)
+    base = np.array([prior[0] + prior[2], prior[1] + prior[3]]) / prior.sum()
+    tables = {}
+    for e, c in count.items():
+        rows_ = np.array([[c[0], c[1]], [c[2], c[3]]])
+        cond = (rows_ + 2 * base) / (rows_ + 2 * base).sum(1, keepdims=True)
+        own = (rows_.sum(0) + 2 * base) / (rows_.sum() + 2)
+        t = np.sqrt(cond / own)  # tempered: features and edges share evidence
+        tables[e] = ((float(t[0, 0]), float(t[0, 1])), (float(t[1, 0]), float(t[1, 1])))
+    return tables
+
+
+def train(pages: list[Page], rounds: int = 3) -> tuple[Model, dict]:
+    """Potentials from the labelled examples and partly labelled pages, and the expected counts of the edges."""
     examples = _examples()
     rng = np.random.default_rng(4)
     rows = []
@@ -303,34 +319,45 @@ def train(pages: list[Page], rounds: int = 3) -> Model:
                 c = count[e]
                 for s in range(4):
                     c[s] += 0.25 * j[s]
-        # conditional tables, divided by the child's own rate: the node model already holds the prior
-        prior = np.sum([c for c in count.values()], axis=0)
-        base = np.array([prior[0] + prior[2], prior[1] + prior[3]]) / prior.sum()
-        tables = {}
-        for e, c in count.items():
-            rows_ = np.array([[c[0], c[1]], [c[2], c[3]]])
-            cond = (rows_ + 2 * base) / (rows_ + 2 * base).sum(1, keepdims=True)
-            own = (rows_.sum(0) + 2 * base) / (rows_.sum() + 2)
-            t = np.sqrt(cond / own)  # tempered: features and edges share evidence
-            tables[e] = ((float(t[0, 0]), float(t[0, 1])), (float(t[1, 0]), float(t[1, 1])))
-        model.tables = tables
-    return model
+        model.tables = _tables(count)
+    return model, dict(count)
+
+
+def averaged(parts: DataFrame) -> Model:
+    """One model from the (kind, name, values) of all groups' potentials, as `fitted` gives them."""
+    kind: dict[str, dict] = {"f": {}, "w": {}, "b": {}, "e": {}}
+    total = [F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(4)]
+    got = parts.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("groups"), *total).collect()  # features, words and edges, not pages
+    groups = max(r["groups"] for r in got)  # each has a bias
+    for r in got:
+        kind[r["kind"]][r["name"]] = [r[f"v{i}"] / groups for i in range(4)]
+    one = {k: {n: v[0] for n, v in kind[k].items()} for k in "fwb"}
+    return Model(one["f"], one["w"], one["b"][""], _tables({e: [1 + x for x in v] for e, v in kind["e"].items()}))  # 1: a group without the edge
+
+
+def fitted(model: Model, count: dict) -> list[tuple[str, str, list[float]]]:
+    """(kind, name, values) of a group's weights, words, bias and edges; edges as counts beyond the 1 that each begins with."""
+    out = [(k, n, [x, 0.0, 0.0, 0.0]) for k, named in (("f", model.weights), ("w", model.words), ("b", {"": model.bias})) for n, x in named.items()]
+    return out + [("e", e, [float(x) - 1 for x in c]) for e, c in count.items()]
 
 
 def lines_by_page(pages: DataFrame) -> DataFrame:
-    """(u, s, k): page, source and key of every line of a page, once; and one row a page with k null."""
+    """(u, s, k, seq): page, source and key of every line of a page, once; and one row a page with k null and, as seq, the
+    keys of its lines in order, with 1 for a closed line in place of their last three bits."""
 
     def collect(_, cols):
-        out: dict[str, list] = {"u": [], "s": [], "k": []}
+        out: dict[str, list] = {"u": [], "s": [], "k": [], "seq": []}
         for u, t, s in zip(cols["u"], cols["text"], cols["source"]):
             low = _lower(s)
-            keys = [None, *{_key(f) for _, _, f in lines_of(t, low)}]
+            seq = [(_key(f), is_closed(x)) for _, x, f in lines_of(t, low)]
+            keys = [None, *{k for k, _ in seq}]
+            out["seq"] += [[k >> 3 << 3 | c for k, c in seq], *[None] * (len(keys) - 1)]
             out["u"] += [u] * len(keys)
             out["s"] += [_key(low)] * len(keys)
             out["k"] += keys
         return out
 
-    return map_batches(pages.select("u", "text", "source"), collect, "u long, s long, k long")
+    return map_batches(pages.select("u", "text", "source"), collect, "u long, s long, k long, seq array<long>")
 
 
 def repetition(lines: DataFrame, n: int, least: float) -> DataFrame:
@@ -349,57 +376,75 @@ def repetition(lines: DataFrame, n: int, least: float) -> DataFrame:
     return both.select("s", "k", F.greatest(level("every", F.lit(float(n)), 1.0), level("n", F.col("pages"), 25.0)).alias("level")).where("level > 0")
 
 
-def list_heads(pages: list[tuple]) -> set[str]:
-    """Forms of repeated, unclosed lines of which most occurrences are followed by two unclosed lines that are not repeated."""
-    n, led = Counter(), Counter()
-    for lines, level in pages:
-        rare = [not level(f) >= 2 and not is_closed(x) for _, x, f in lines] + [False, False]
-        for i, (_, x, f) in enumerate(lines):
-            if not rare[i] and level(f) >= 2 and not is_closed(x):
-                n[f] += 1
-                led[f] += rare[i + 1] and rare[i + 2]
-    return {f for f, k in n.items() if led[f] + 1 > 0.5 * (k + 2)}
+def list_heads(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """(label): keys, without their last three bits, of repeated, unclosed lines of which most occurrences on all pages are
+    followed by two unclosed lines that are not repeated."""
 
+    def count(_, cols):
+        n, led = Counter(), Counter()
+        for seq, codes in zip(cols["seq"], cols["codes"]):
+            wide = {c >> 3 for c in codes if c & 3 >= 2}
+            often = [c >> 3 in wide for c in seq]
+            rare = [not (o or c & 1) for o, c in zip(often, seq)] + [False, False]
+            for i, c in enumerate(seq):
+                if often[i] and not c & 1:
+                    n[c >> 3] += 1
+                    led[c >> 3] += rare[i + 1] and rare[i + 2]
+        return {"label": list(n), "n": list(n.values()), "led": [led[x] for x in n]} if n else None
 
-def _levels(codes: list[int] | None):
-    """A page's level of a line, from its codes: all but the last two bits of the key, and the level in these."""
-    known = {c >> 2: c & 3 for c in codes or ()}
-    return lambda f: known.get(_key(f) >> 2, 0)
+    seen = map_batches(lines.where("k is null").select("u", "seq").join(marks, "u").select("seq", "codes"), count, "label long, n long, led long")
+    return seen.groupBy("label").agg(F.sum("n").alias("n"), F.sum("led").alias("led")).where("led + 1 > 0.5 * (n + 2)").select("label")
 
 
-def furniture_lines(articles: DataFrame, most_pages: int = 1500, least: float = 1 / 2500, odds: float = 0.0) -> DataFrame:
+def _marks(codes) -> dict[int, int]:
+    """What is known of a page's lines, from its codes: key without the last three bits -> 4 for a list's label, and the level."""
+    return {c >> 3: c & 7 for c in codes} if codes is not None else {}
+
+
+def page_of(text: str, source: str | None, codes, cache: dict) -> Page:
+    lines, known = lines_of(text, _lower(source)), _marks(codes)
+    got = [known.get(_key(f) >> 3, 0) for _, _, f in lines]
+    return Page(lines, [c & 3 for c in got], cache, [c > 3 for c in got])
+
+
+def furniture_lines(articles: DataFrame, group_pages: int = 1500, least: float = 1 / 2500, odds: float = 0.0) -> DataFrame:
     """(article_id, line_no): every non-blank line whose marginal log-odds of being furniture exceed `odds`."""
     spark = articles.sparkSession
     pages = articles.select(F.col("id").alias("id"), F.col("content").alias("text"), F.col("source").alias("source")).where("id is not null and text is not null")
     pages = pages.withColumn("u", F.xxhash64("id", "text", "source"))
     n = pages.count()
     lines = stored(lines_by_page(pages), "lines")
-    often = stored(repetition(lines, n, least), "levels")
-    code = F.shiftleft(F.shiftright("k", 2), 2) + F.col("level")
-    marks = stored(lines.where("k is not null").join(often, ["s", "k"]).groupBy("u").agg(F.collect_set(code).alias("codes")), "marks")
+    often = stored(repetition(lines, n, least), "levels").withColumn("label", F.shiftright("k", 3))
+
+    def marks(known: DataFrame) -> DataFrame:
+        code = F.shiftleft("label", 3) + F.when(F.col("head"), 4).otherwise(0) + F.col("level")
+        return lines.where("k is not null").select("u", "s", "k").join(known, ["s", "k"]).groupBy("u").agg(F.collect_set(code).alias("codes"))
+
+    heads = stored(list_heads(lines, marks(often.where("level >= 2").withColumn("head", F.lit(False)))), "heads")
+    marked = stored(marks(often.join(heads.withColumn("head", F.lit(True)), "label", "left")), "marks")
+    whole = pages.join(marked, "u", "left").select("id", "text", "source", "codes")
+    groups = max(1, n // group_pages)
 
-    def page_of(lines: list, heads: set, cache: dict, level) -> Page:
-        return Page(lines, [level(f) for _, _, f in lines], cache, [f in heads for _, _, f in lines])
+    def fit(rows):
+        rows = rows.drop_duplicates(["id", "text", "source"]).sort_values(["id", "text"])
+        got = fitted(*train([page_of(t, s, c, {}) for t, s, c in zip(rows["text"], rows["source"], rows["codes"])]))
+        return pd.DataFrame(got, columns=["kind", "name", "values"])
 
-    draw = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30))  # a slice of the hash range that holds the sample, so that no task sends more than its part of it
-    drawn = pages.where(draw < min(1 << 30, int((1 << 30) * (1.2 * most_pages + 100) / max(n, 1)))).withColumn("draw", draw)
-    drawn = drawn.orderBy("draw", "id").limit(most_pages).join(marks, "u", "left").orderBy("draw", "id")
-    sample = [(lines_of(r["text"], _lower(r["source"])), _levels(r["codes"])) for r in drawn.collect()]  # bounded by most_pages
-    heads = list_heads(sample)
-    model = train([page_of(x, heads, {}, level) for x, level in sample])
-    shared = spark.sparkContext.broadcast((model, heads))
+    part = F.pmod(F.xxhash64(F.lit(2), "id", "text"), F.lit(groups))
+    parts = whole.withColumn("part", part).groupBy("part").applyInPandas(fit, "kind string, name string, values array<double>")
+    shared = spark.sparkContext.broadcast(averaged(parts) if n else train([])[0])
 
     def score(cache, cols):
-        model, heads = shared.value
+        model = shared.value
         ids, nos = [], []
         for i, t, s, codes in zip(cols["id"], cols["text"], cols["source"], cols["codes"]):
-            page = page_of(lines_of(t, _lower(s)), heads, cache, _levels(codes))
+            page = page_of(t, s, codes, cache)
             out = [k for k, x in zip(page.no, model.furniture(page)) if x > odds]
             ids += [i] * len(out)
             nos += out
         return {"article_id": ids, "line_no": nos} if ids else None
 
-    return map_batches(pages.join(marks, "u", "left").select("id", "text", "source", "codes"), score, "article_id long, line_no int", dict).distinct()
+    return map_batches(whole, score, "article_id long, line_no int", dict).distinct()
 
 
 def stories(articles: DataFrame, **options) -> DataFrame:

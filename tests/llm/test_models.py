@@ -57,6 +57,33 @@ def test_main_text(spark, articles):
     assert {r["article_id"] for r in main_text.stories(articles).collect()} == set(range(1, 9))
 
 
+def test_main_text_of_many_groups(spark):
+    rng = random.Random(8)
+    made = [page(rng, i) for i in range(250)]
+    df = spark.createDataFrame([(i, "S", t) for i, (t, _) in enumerate(made)], "id long, source string, content string")
+    got = {tuple(r) for r in main_text.furniture_lines(df, group_pages=60).collect()}
+    want = {(i, n) for i, (_, f) in enumerate(made) for n in f}
+    assert len(got & want) / len(got) > 0.95 and len(got & want) / len(want) > 0.9
+
+
+def test_heads_of_all_pages(spark):
+    text = lambda i: "Tin khác\n- mục riêng " + chr(97 + i) + "\n- bài riêng " + chr(97 + i) if i < 12 else "Chia sẻ\nMột câu dài hơn một chút."
+    rows = [(i, text(i), "S") for i in range(25)]
+    lines = main_text.lines_by_page(spark.createDataFrame(rows, "u long, text string, source string")).cache()
+    key = {x: main_text._key(main_text.form(x, "s")) >> 3 for x in ("Tin khác", "Chia sẻ")}
+    marks = spark.createDataFrame([(i, [(key["Tin khác" if i < 12 else "Chia sẻ"] << 3) + 3]) for i in range(25)], "u long, codes array<long>")
+    assert [r["label"] for r in main_text.list_heads(lines, marks).collect()] == [key["Tin khác"]]
+
+
+def test_groups_are_averaged(spark):
+    rows = []
+    for words in ({"a": 1.0, "b": 4.0}, {"a": 3.0}):
+        rows += main_text.fitted(main_text.Model({"x": 2.0}, words, -1.0, {}), {"e": [5.0, 1.0, 1.0, 3.0]})
+    got = main_text.averaged(spark.createDataFrame(rows, "kind string, name string, values array<double>"))
+    assert (got.weights, got.words, got.bias) == ({"x": 2.0}, {"a": 2.0, "b": 2.0}, -1.0)
+    assert got.tables == main_text._tables({"e": [5.0, 1.0, 1.0, 3.0]})
+
+
 def test_subjects(spark, articles):
     rng = random.Random(9)
     lex = {"law": ["tòa án xét xử", "bị cáo nhận tội", "luật sư bào chữa"], "sport": ["đội bóng ghi bàn", "trọng tài thổi phạt", "khán giả hò reo"], "farming": ["nông dân gặt lúa", "vườn cây trái ngọt", "đàn bò ăn cỏ"]}
