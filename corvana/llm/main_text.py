@@ -12,7 +12,8 @@ that share wording with their page are story, and all others are hidden; the edg
 expected counts that the messages give. In training, repetition is withheld from half of the lines so that shape and
 words are learned, and parts of story sentences stand in for headings and list items. The pages are divided by a hash into
 groups of about `group_pages`, potentials are fitted in each group where it lies, and weights and expected counts are
-averaged over all groups. Which labels lead lists is counted over all pages, too.
+averaged over all groups. Each group's pages are stored as numbers along with its potentials, and judged from there. Which
+labels lead lists is counted over all pages, too.
 
 Repetition is the number of pages with the line (digits, e-mail addresses and the source's own name unified), over all
 pages. A group of copies of one story repeats its lines too; these share their wording with the rest of their page, which
@@ -26,9 +27,12 @@ repeated under one id count once; null ids are ignored; an empty table gives an
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -68,10 +72,24 @@ def _lower(source: str | None) -> str:
 
 
 def lines_of(text: str, source: str) -> list[tuple[int, str, str]]:
-    """(line_no, visible line, form) of the non-blank lines."""
+    """(line_no, visible line, form) of the non-blank lines; the forms of a whole page at once, for no step of them crosses a line."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    return [(i, x.strip(), f) for i, x in enumerate(text.split("\n")) if (f := form(x, source))]
+    if "@" in text:
+        return [(i, x.strip(), f) for i, x in enumerate(text.split("\n")) if (f := form(x, source))]
+    s = "\n".join([" ".join(x.split()) for x in text.lower().split("\n")])
+    if source and source in s:
+        s = s.replace(source, "§")
+    return [(i, x.strip(), f) for i, (x, f) in enumerate(zip(text.split("\n"), _DIGITS.sub("0", s).split("\n"))) if f]
+
+
+def words_of(f: str) -> list[str]:
+    """The runs of letters and digits."""
+    s = f
+    for c in ',.:-/%?!"“”…()|':
+        s = s.replace(c, " ")
+    words = s.split()
+    return words if "".join(words).isalnum() else _WORD.findall(f)  # where nothing else divides words, split finds the same
 
 
 def is_closed(line: str) -> bool:
@@ -116,54 +134,123 @@ def context(kind: str, closed: bool, share: float, slot: int, place: str) -> tup
     return over, f"{over}closed{closed}", f"slot{slot}", f"slot{slot}{over}", f"{kind}slot{min(slot, 1)}", f"place{place}{closed}"
 
 
-class Page:
-    """A page's nodes: line numbers, feature names, words, tree."""
-
-    __slots__ = ("closed", "edge", "feats", "kinds", "no", "overlap", "parent", "shared", "wide", "words")
-
-    def __init__(self, lines: list[tuple[int, str, str]], wide: list[int], cache: dict, heads: list[bool]):
-        self.no = [x[0] for x in lines]
-        shapes = []
-        for _, line, f in lines:
-            got = cache.get(line)
-            if got is None:
-                words = _WORD.findall(f)
-                got = (*shape(line), words, set(zip(words, words[1:])))
-                if len(line) < 160:
-                    if len(cache) > 100_000:
-                        cache.clear()
-                    cache[line] = got
-            shapes.append(got)
-        self.words = [s[3] for s in shapes]
-        self.closed = [s[2] for s in shapes]
-        self.kinds = [s[1] for s in shapes]
-        self.wide = wide
-        once: set = set()  # word pairs in a closed line, and in more than one
-        twice: set = set()
-        for s in shapes:
-            if s[2] and len(s[3]) >= 8:
-                twice |= once & s[4]
-                once |= s[4]
-        self.shared = twice
-        self.overlap, self.feats, self.parent, self.edge = [], [], [], []
-        head = top = -1
-        since = 0
-        for i, (sf, kind, closed, words, pairs) in enumerate(shapes):
-            share = len(pairs & (twice if closed and len(words) >= 8 else once)) / len(pairs) if pairs else 0.0
-            self.overlap.append(share)
-            if head >= 0 and not closed and wide[i] < 2:
-                since += 1
-                slot = min(since, 4)
-                self.parent.append(head)
-                self.edge.append(f"item{slot}{'same' if share >= 0.5 else 'other'}")
-            else:
-                slot = 0
-                self.parent.append(top)
-                self.edge.append(f"{'root' if top < 0 else self.kinds[top][:6]}-{kind[:6]}")
-                top = i
-                head, since = (i, 0) if heads[i] else (-1, 0)
-            place = "first" if i == 0 else "last" if i == len(shapes) - 1 else ""
-            self.feats.append((sf, context(kind, closed, share, slot, place), _WIDE[wide[i]]))
+class Reader:
+    """Numbers words, features and edges as they are met, and remembers short lines."""
+
+    def __init__(self):
+        self.words: dict = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.shapes: dict = {}
+        self.contexts: dict = {}
+        self.edges: dict = {}
+        self.lines: dict = {}
+        self.places: dict = {}
+
+    def line(self, line: str, f: str) -> tuple[int, str, bool, list[int]]:
+        """(number of the shape features, kind, whether closed, numbers of the words)."""
+        got = self.lines.get((line, f))
+        if got is None:
+            sf, kind, closed = shape(line)
+            number = self.words
+            got = (self.shapes.setdefault(sf, len(self.shapes)), kind, closed, [number[w] for w in words_of(f)])
+            if len(line) < 160:
+                self.lines[line, f] = got
+        return got
+
+    def place(self, kind: str, closed: bool, share: float, slot: int, place: str) -> int:
+        key = kind, closed, 0 if share < 0.15 else 1 if share < 0.5 else 2, slot, place
+        got = self.places.get(key)
+        if got is None:
+            c = context(kind, closed, share, slot, place)
+            got = self.places[key] = self.contexts.setdefault(c, len(self.contexts))
+        return got
+
+
+class Pages:
+    """The nodes of many pages as arrays, page after page: line numbers, feature and word numbers, tree.
+
+    pages: of each page its lines, how widely each is repeated, and whether each is a list's label."""
+
+    __slots__ = ("at", "closed", "context", "edge", "no", "overlap", "parent", "shape", "shared", "start", "wide", "word")
+
+    def __init__(self, pages: list[tuple[list[tuple[int, str, str]], list[int], list[bool]]], reader: Reader):
+        read = [reader.line(x, f) for lines, _, _ in pages for _, x, f in lines]
+        n = len(read)
+        self.at = np.cumsum([0, *(len(x) for x, _, _ in pages)])
+        self.no = np.array([x[0] for lines, _, _ in pages for x in lines], dtype=np.int64)
+        self.wide = np.array([w for _, wide, _ in pages for w in wide], dtype=np.int64)
+        self.shape = np.array([r[0] for r in read], dtype=np.int64)
+        self.closed = np.array([r[2] for r in read], dtype=bool)
+        self.start = np.cumsum([0, *(len(r[3]) for r in read)])
+        self.word = np.fromiter(chain.from_iterable(r[3] for r in read), dtype=np.int64, count=int(self.start[-1]))
+        self._share(len(reader.words))
+        share, i = self.overlap.tolist(), 0
+        parents, contexts, edges, number = [], [], [], reader.edges
+        for lines, wide, heads in pages:
+            begin, head, top, since = i, -1, -1, 0
+            for w, label in zip(wide, heads):
+                _, kind, closed, _ = read[i]
+                if head >= 0 and not closed and w < 2:
+                    since += 1
+                    slot = min(since, 4)
+                    parents.append(head)
+                    e = f"item{slot}{'same' if share[i] >= 0.5 else 'other'}"
+                else:
+                    slot = 0
+                    parents.append(top)
+                    e = f"{'root' if top < 0 else read[top][1][:6]}-{kind[:6]}"
+                    top = i
+                    head, since = (i, 0) if label else (-1, 0)
+                edges.append(number.setdefault(e, len(number)))
+                place = "first" if i == begin else "last" if i == begin + len(lines) - 1 else ""
+                contexts.append(reader.place(kind, closed, share[i], slot, place))
+                i += 1
+        self.parent, self.edge, self.context = (np.array(x, dtype=np.int64) for x in (parents, edges, contexts))
+
+    def packed(self, ids: list[int], reader: Reader) -> bytes:
+        """What `unpacked` gives: all that is needed to judge these pages, in few bytes."""
+        used = np.zeros(len(reader.words), dtype=bool)
+        used[self.word] = True
+        word = (np.cumsum(used) - 1)[self.word]
+        up = np.where(self.parent < 0, 0, np.arange(len(self.no)) - self.parent)
+        arrays = np.diff(self.at), self.no, self.shape, self.context, self.wide, up, self.edge, np.diff(self.start), word
+        names = list(reader.shapes), list(reader.contexts), list(reader.edges), [w for w, u in zip(reader.words, used.tolist()) if u]
+        return pickle.dumps((ids, [a.astype(np.min_scalar_type(a.max(initial=0))) for a in arrays], names), 5)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> tuple[np.ndarray, Pages, Reader]:
+        """(each page's id, the pages, the numbers of their features, words and edges)."""
+        ids, arrays, names = pickle.loads(data)
+        lines, no, shape_, context_, wide, up, edge, size, word = (a.astype(np.int64) for a in arrays)
+        p, reader = cls.__new__(cls), Reader()
+        p.at, p.no, p.shape, p.context, p.wide, p.edge, p.word = np.append(0, np.cumsum(lines)), no, shape_, context_, wide, edge, word
+        p.parent, p.start = np.where(up > 0, np.arange(len(no)) - up, -1), np.append(0, np.cumsum(size))
+        reader.shapes, reader.contexts, reader.edges, reader.words = ({x: i for i, x in enumerate(n)} for n in names)
+        return np.array(ids, dtype=np.int64), p, reader
+
+    def _share(self, v: int) -> None:
+        """overlap: the share of a line's distinct word pairs that are in a closed line of its page, for a closed line in another
+        one; shared: for each word whether it and the next are a pair of more than one closed line."""
+        n = len(self.no)
+        size = np.diff(self.start)
+        full = self.closed & (size >= 8)
+        page = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        line = np.repeat(np.arange(n), size)
+        pos = np.flatnonzero(line[1:] == line[:-1])
+        self.shared = np.zeros(len(self.word), dtype=bool)
+        self.overlap = np.zeros(n)
+        if not len(pos):
+            return
+        a, b, of = self.word[pos], self.word[pos + 1], page[line[pos]]
+        order = np.argsort((of * v + a) * v + b, kind="stable") if len(self.at) * v * v < 1 << 62 else np.lexsort((b, a, of))
+        a, b, of, line = a[order], b[order], of[order], line[pos][order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (of[1:] != of[:-1]))
+        once = new | np.append(True, line[1:] != line[:-1])  # a pair's first place in its line
+        pair = np.cumsum(new) - 1
+        lines = np.bincount(pair, once & full[line])[pair]  # closed lines with the pair
+        self.shared[pos[order]] = lines >= 2
+        found = np.bincount(line, once & (lines >= np.where(full[line], 2, 1)), n)
+        self.overlap = found / np.maximum(1, np.bincount(line, once, n))
 
 
 def up_down(parent: list[int], edge: list, node: list[float], tables: dict, default) -> tuple[list[float], list]:
@@ -197,6 +284,40 @@ def up_down(parent: list[int], edge: list, node: list[float], tables: dict, defa
     return full, joint
 
 
+_LONG = 200  # lines; the messages of longer pages are sent page by page
+
+
+def up_down_all(at: np.ndarray, parent: np.ndarray, edge: np.ndarray, node: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`up_down` over many pages at once, line by line of all pages; page p has the nodes at[p] to at[p + 1], t[edge] is a 2 x 2 table.
+
+    Returns the marginal log-odds and, in rows of four, the joint marginals."""
+    n, size = len(node), np.diff(at)
+    full, joint = np.zeros(n), np.zeros((n, 4))
+    place = np.arange(n) - np.repeat(at[:-1], size)
+    rest = np.flatnonzero(np.repeat(size <= _LONG, size))
+    rest = rest[np.argsort(place[rest], kind="stable")]
+    steps = np.split(rest, np.flatnonzero(np.diff(place[rest])) + 1) if len(rest) else []
+    p00, p01, p10, p11 = (t[edge, i, j] for i in (0, 1) for j in (0, 1))
+    up, sent, above = node.copy(), np.zeros(n), np.ones(n)
+    for i in reversed(steps):  # one line of each page, so no two add to one parent
+        o = np.exp(np.clip(up[i], -30.0, 30.0))
+        sent[i] = np.log((p10[i] + p11[i] * o) / (p00[i] + p01[i] * o))
+        i = i[parent[i] >= 0]
+        up[parent[i]] += sent[i]
+    for i in steps:
+        j = i[parent[i] >= 0]
+        above[j] = np.exp(np.clip(full[parent[j]] - sent[j], -30.0, 30.0))
+        full[i] = up[i] + np.log((p01[i] + above[i] * p11[i]) / (p00[i] + above[i] * p10[i]))
+    c = np.exp(np.clip(up[rest], -30.0, 30.0))
+    joint[rest] = np.stack([p00[rest], p01[rest] * c, above[rest] * p10[rest], above[rest] * p11[rest] * c], axis=1)
+    for p in np.flatnonzero(size > _LONG):
+        a, z = at[p], at[p + 1]
+        up_ = [int(q) - int(a) if q >= 0 else -1 for q in parent[a:z]]
+        own = dict(enumerate(t.tolist()))
+        full[a:z], joint[a:z] = up_down(up_, edge[a:z].tolist(), node[a:z].tolist(), own, None)
+    return full, joint / joint.sum(1, keepdims=True) if n else joint
+
+
 class Model:
     """Weights of features and words, and edge tables."""
 
@@ -204,62 +325,82 @@ class Model:
         self.weights, self.words, self.bias, self.tables = weights, words, bias, tables
         self.default = ((0.6, 0.4), (0.4, 0.6))
 
-    def node(self, page: Page) -> list[float]:
+    def node(self, pages: Pages, reader: Reader) -> np.ndarray:
         get, word = self.weights.get, self.words.get
-        out = []
-        for fs, ws in zip(page.feats, page.words):
-            x = self.bias
-            for part in fs:
-                for f in part:
-                    x += get(f, 0.0)
-            if ws:
-                x += sum([word(w, 0.0) for w in ws]) / math.sqrt(len(ws))
-            out.append(x)
+        of = lambda features: np.array([sum(get(f, 0.0) for f in fs) for fs in features] or [0.0])
+        out = self.bias + of(reader.shapes)[pages.shape] + of(reader.contexts)[pages.context] + of(_WIDE)[pages.wide]
+        size = np.diff(pages.start)
+        some = np.flatnonzero(size)
+        if len(some):
+            each = np.array([word(w, 0.0) for w in reader.words])
+            out[some] += np.add.reduceat(each[pages.word], pages.start[:-1][some]) / np.sqrt(size[some])
         return out
 
-    def furniture(self, page: Page) -> list[float]:
-        return up_down(page.parent, page.edge, self.node(page), self.tables, self.default)[0]
+    def messages(self, pages: Pages, reader: Reader, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = np.array([self.tables.get(e, self.default) for e in reader.edges] or [self.default])
+        return up_down_all(pages.at, pages.parent, pages.edge, node, t)
+
+    def furniture(self, pages: Pages, reader: Reader) -> np.ndarray:
+        return self.messages(pages, reader, self.node(pages, reader))[0]
 
 
 def _logistic(rows: list[tuple[tuple, list, float, float]], ridge: float = 3e-4, steps: int = 250) -> tuple[dict, dict, float]:
-    """Weights from (features, words, label, weight) rows by full-batch Adam; words count 1 / sqrt(length)."""
+    """Weights from (features, numbers of words, label, weight) rows by full-batch Adam; words count 1 / sqrt(length).
+
+    Equal rows count as one with the sum of their weights. Few rows differ in their features, so these are summed once for all
+    rows that have the same."""
+    weight: dict = defaultdict(float)
+    for fs, ws, label, x in rows:
+        weight[fs, tuple(ws), label] += x
+    rows = list(weight)
+    sets: dict = {}
+    of = np.array([sets.setdefault(r[0], len(sets)) for r in rows])
     names: dict = {}
-    at, idx, val = [0], [], []
-    for fs, ws, _, _ in rows:
-        idx += [names.setdefault(("f", f), len(names)) for f in fs]
-        val += [1.0] * len(fs)
-        if ws:
-            idx += [names.setdefault(("w", w), len(names)) for w in ws]
-            val += [1 / math.sqrt(len(ws))] * len(ws)
-        at.append(len(idx))
-    idx, val, at = np.array(idx), np.array(val), np.array(at[:-1])
-    row = np.repeat(np.arange(len(rows)), np.diff(np.append(at, len(idx))))
+    one = np.array([names.setdefault(f, len(names)) for fs in sets for f in fs])
+    many = np.array([len(fs) for fs in sets])
+    first = np.cumsum(many) - many
+    size = np.array([len(r[1]) for r in rows])
+    idx = np.fromiter(chain.from_iterable(r[1] for r in rows), dtype=np.int64, count=int(size.sum()))
+    used = np.bincount(idx) > 0
+    words, idx = np.flatnonzero(used), (np.cumsum(used) - 1)[idx]
+    some = np.flatnonzero(size)
+    size = size[some]
+    at = np.cumsum(size) - size
+    scale = 1 / np.sqrt(size)
+    order = np.argsort(idx.astype(np.min_scalar_type(len(words))), kind="stable")
+    by_word, place = np.repeat(np.arange(len(some)), size)[order], np.searchsorted(idx[order], np.arange(len(words)))
     y = np.array([r[2] for r in rows])
-    k = np.array([r[3] for r in rows])
+    k = np.array(list(weight.values()))
     k = k / k.sum()
-    w, b = np.zeros(len(names)), 0.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    n = len(names)
+    w, b = np.zeros(n + len(words)), 0.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    each = np.empty(len(idx))
     for t in range(1, steps + 1):
-        z = np.add.reduceat(w[idx] * val, at) + b
+        z = np.add.reduceat(w[one], first)[of] + b
+        z[some] += np.add.reduceat(np.take(w[n:], idx, out=each, mode="clip"), at) * scale
         err = (1 / (1 + np.exp(-z)) - y) * k
-        g = np.append(np.bincount(idx, val * err[row], len(w)) + ridge * w * 0.1, err.sum())
+        shapes = np.bincount(one, np.repeat(np.bincount(of, err, len(sets)), many), n)
+        g = np.concatenate([shapes, np.add.reduceat(np.take(err[some] * scale, by_word, out=each, mode="clip"), place), [err.sum()]])
+        g[:-1] += ridge * w * 0.1
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         s = 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= s[:-1]
         b -= s[-1]
-    got = {n: float(x) for n, x in zip(names, w)}
-    return {n[1]: x for n, x in got.items() if n[0] == "f"}, {n[1]: x for n, x in got.items() if n[0] == "w"}, float(b)
+    w = w.tolist()
+    return dict(zip(names, w)), dict(zip(words.tolist(), w[n:])), float(b)
 
 
-def _examples() -> list[tuple[Page, list[int]]]:
-    got = []
+def _examples(reader: Reader) -> tuple[Pages, list[int]]:
+    pages, label = [], []
     for text in PAGES:
         rows = [(x[0], x[2:]) for x in text.split("\n")]
         marks = "".join(m for m, _ in rows)
         heads = [marks[i : i + 3] == "Fff" for i in range(len(rows))]
-        got.append((Page([(i, x, form(x, "")) for i, (_, x) in enumerate(rows)], [3 if m == "F" else 0 for m in marks], {}, heads), [int(m in "Ff") for m in marks]))
-    return got
+        pages.append(([(i, x, form(x, "")) for i, (_, x) in enumerate(rows)], [3 if m == "F" else 0 for m in marks], heads))
+        label += [int(m in "Ff") for m in marks]
+    return Pages(pages, reader), label
 
 
 def _tables(count: dict) -> dict:
@@ -276,51 +417,54 @@ def _tables(count: dict) -> dict:
     return tables
 
 
-def train(pages: list[Page], rounds: int = 3) -> tuple[Model, dict]:
+def train(batches: list[Pages], reader: Reader, rounds: int = 3) -> tuple[Model, dict]:
     """Potentials from the labelled examples and partly labelled pages, and the expected counts of the edges."""
-    examples = _examples()
+    examples, y = _examples(reader)
+    shapes, contexts, name = list(reader.shapes), list(reader.contexts), list(reader.words)
     rng = np.random.default_rng(4)
     rows = []
-    for p, y in examples:
-        for f, w, v in zip(p.feats, p.words, y):
-            rows += [((*f[0], *f[1], *f[2]), w, v, 12.0), ((*f[0], *f[1]), w, v, 6.0)]
+    ends = examples.start.tolist()
+    for sf, c, b, a, z, v in zip(examples.shape, examples.context, examples.wide, ends, ends[1:], y):
+        own, w = (*shapes[sf], *contexts[c]), examples.word[a:z].tolist()
+        rows += [((*own, *_WIDE[b]), w, v, 12.0), (own, w, v, 6.0)]
     known = []
-    for p in pages:
-        k = []
-        for b, c, w, o in zip(p.wide, p.closed, p.words, p.overlap):
-            k.append(1 if b >= 2 and not (c and o >= 0.3 and len(w) >= 8) else 0 if c and len(w) >= 10 and o >= (0.5 if b else 0.15) else None)
+    for p in batches:
+        size = np.diff(p.start)
+        wide = (p.wide >= 2) & ~(p.closed & (p.overlap >= 0.3) & (size >= 8))
+        told = p.closed & (size >= 10) & (p.overlap >= np.where(p.wide > 0, 0.5, 0.15))
+        k = np.where(wide, 1, np.where(told, 0, -1))
         known.append(k)
-        for f, w, v in zip(p.feats, p.words, k):
-            if v is None:
-                continue
-            rows.append(((*f[0], *f[1], *(f[2] if rng.random() < 0.5 else ())), w, v, 1.0))
+        ends, some = p.start.tolist(), np.flatnonzero(k >= 0)
+        for i, sf, c, b, v in zip(some.tolist(), p.shape[some].tolist(), p.context[some].tolist(), p.wide[some].tolist(), k[some].tolist()):
+            w = p.word[ends[i] : ends[i + 1]].tolist()
+            rows.append(((*shapes[sf], *contexts[c], *(_WIDE[b] if rng.random() < 0.5 else ())), w, v, 1.0))
             if v == 0 and rng.random() < 0.5:  # a part of the sentence in the shape of a heading or a list item
                 at, n = rng.integers(0, len(w) - 4), rng.integers(5, 13)
                 part = w[at : at + n]
-                pairs = set(zip(part, part[1:]))
+                shared = p.shared[ends[i] + at : ends[i] + at + len(part) - 1].tolist()
+                pairs = dict(zip(zip(part, part[1:]), shared))
                 mark, upper, end = (("", True, ""), ("", True, ""), ("", True, ""), ("• ", False, ""), ("- ", False, ""), ("1. ", False, ""), ("Bước 1: ", False, ""), ("", False, " | 21 | 4"))[rng.integers(0, 8)]
-                text = " ".join(part)
+                text = " ".join([name[x] for x in part])
                 sf, kind, closed = shape(mark + (text[:1].upper() + text[1:] if upper else text) + end)
-                rows.append(((*sf, *context(kind, closed, len(pairs & p.shared) / max(1, len(pairs)), 0, "")), part, 0, 1.0))
+                rows.append(((*sf, *context(kind, closed, sum(pairs.values()) / max(1, len(pairs)), 0, "")), part, 0, 1.0))
     weights, words, bias = _logistic(rows)
-    tables: dict = {}
-    model = Model(weights, words, bias, tables)
+    model = Model(weights, {name[w]: x for w, x in words.items()}, bias, {})
+    nodes = [np.where(k < 0, model.node(p, reader), np.where(k > 0, 8.0, -8.0)) for p, k in zip(batches, known)]
+    edges = list(reader.edges)
+    start = np.zeros((len(edges), 4))
+    for q, e, v in zip(examples.parent, examples.edge, y):
+        start[e, 2 * (y[q] if q >= 0 else 0) + v] += 1.0
+        if q < 0:
+            start[e, 2 + v] += 1.0
+    count: dict = {}
     for _ in range(rounds):  # expected counts of the edges
-        count: dict = defaultdict(lambda: [1.0, 1.0, 1.0, 1.0])
-        for p, y in examples:
-            for i, (q, e) in enumerate(zip(p.parent, p.edge)):
-                count[e][2 * (y[q] if q >= 0 else 0) + y[i]] += 1.0
-                if q < 0:
-                    count[e][2 + y[i]] += 1.0
-        for p, k in zip(pages, known):
-            node = [x if v is None else (8.0 if v else -8.0) for x, v in zip(model.node(p), k)]
-            _, joint = up_down(p.parent, p.edge, node, model.tables, model.default)
-            for e, j in zip(p.edge, joint):
-                c = count[e]
-                for s in range(4):
-                    c[s] += 0.25 * j[s]
+        total = 1.0 + start
+        for p, node in zip(batches, nodes):
+            joint = model.messages(p, reader, node)[1]
+            total += 0.25 * np.stack([np.bincount(p.edge, joint[:, s], len(edges)) for s in range(4)], axis=1)
+        count = dict(zip(edges, total.tolist()))
         model.tables = _tables(count)
-    return model, dict(count)
+    return model, count
 
 
 def averaged(parts: DataFrame) -> Model:
@@ -401,10 +545,22 @@ def _marks(codes) -> dict[int, int]:
     return {c >> 3: c & 7 for c in codes} if codes is not None else {}
 
 
-def page_of(text: str, source: str | None, codes, cache: dict) -> Page:
-    lines, known = lines_of(text, _lower(source)), _marks(codes)
-    got = [known.get(_key(f) >> 3, 0) for _, _, f in lines]
-    return Page(lines, [c & 3 for c in got], cache, [c > 3 for c in got])
+_CHARS = 4_000_000  # of text whose pages are held as arrays at once
+
+
+def read_pages(texts: list, sources: list, codes: list, reader: Reader) -> Iterator[tuple[int, Pages]]:
+    """(index of the first page, pages) for runs of pages of bounded text."""
+    held, first, chars = [], 0, 0
+    for i, (text, source, c) in enumerate(zip(texts, sources, codes)):
+        if held and chars + len(text) > _CHARS:
+            yield first, Pages(held, reader)
+            held, first, chars = [], i, 0
+        lines, known = lines_of(text, _lower(source)), _marks(c)
+        got = [known.get(_key(f) >> 3, 0) for _, _, f in lines] if known else [0] * len(lines)
+        held.append((lines, [c & 3 for c in got], [c > 3 for c in got]))
+        chars += len(text)
+    if held:
+        yield first, Pages(held, reader)
 
 
 def furniture_lines(articles: DataFrame, group_pages: int = 1500, least: float = 1 / 2500, odds: float = 0.0) -> DataFrame:
@@ -427,24 +583,28 @@ def furniture_lines(articles: DataFrame, group_pages: int = 1500, least: float =
 
     def fit(rows):
         rows = rows.drop_duplicates(["id", "text", "source"]).sort_values(["id", "text"])
-        got = fitted(*train([page_of(t, s, c, {}) for t, s, c in zip(rows["text"], rows["source"], rows["codes"])]))
-        return pd.DataFrame(got, columns=["kind", "name", "values"])
+        ids, reader = rows["id"].tolist(), Reader()
+        codes = [None if c is None else c.tolist() for c in rows["codes"]]
+        read = list(read_pages(rows["text"].tolist(), rows["source"].tolist(), codes, reader))
+        got = [(*x, None) for x in fitted(*train([p for _, p in read], reader))]
+        got += [("p", None, None, p.packed(ids[at : at + len(p.at) - 1], reader)) for at, p in read]
+        return pd.DataFrame(got, columns=["kind", "name", "values", "pages"])
 
     part = F.pmod(F.xxhash64(F.lit(2), "id", "text"), F.lit(groups))
-    parts = whole.withColumn("part", part).groupBy("part").applyInPandas(fit, "kind string, name string, values array<double>")
-    shared = spark.sparkContext.broadcast(averaged(parts) if n else train([])[0])
+    fits = whole.withColumn("part", part).groupBy("part").applyInPandas(fit, "kind string, name string, values array<double>, pages binary")
+    fits = stored(fits, "groups")  # the pages as they were read, too: they are judged with the mean of all groups
+    shared = spark.sparkContext.broadcast(averaged(fits.where("kind <> 'p'")) if n else train([], Reader())[0])
 
-    def score(cache, cols):
-        model = shared.value
+    def score(_, cols):
         ids, nos = [], []
-        for i, t, s, codes in zip(cols["id"], cols["text"], cols["source"], cols["codes"]):
-            page = page_of(t, s, codes, cache)
-            out = [k for k, x in zip(page.no, model.furniture(page)) if x > odds]
-            ids += [i] * len(out)
-            nos += out
-        return {"article_id": ids, "line_no": nos} if ids else None
-
-    return map_batches(whole, score, "article_id long, line_no int", dict).distinct()
+        for data in cols["pages"]:
+            each, p, reader = Pages.unpacked(data)
+            out = shared.value.furniture(p, reader) > odds
+            ids.append(np.repeat(each, np.diff(p.at))[out])
+            nos.append(p.no[out])
+        return {"article_id": np.concatenate(ids), "line_no": np.concatenate(nos).astype(np.int32)}
+
+    return map_batches(fits.where("kind = 'p'").select("pages"), score, "article_id long, line_no int", rows=8).distinct()
 
 
 def stories(articles: DataFrame, **options) -> DataFrame:

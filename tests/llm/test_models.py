@@ -1,7 +1,9 @@
 import itertools
 import math
 import random
+import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,121 @@ def test_groups_are_averaged(spark):
     assert got.tables == main_text._tables({"e": [5.0, 1.0, 1.0, 3.0]})
 
 
+def read(made, reader):
+    """Pages of (text, source), every second line as widely repeated as it can be."""
+    codes = [[(main_text._key(f) >> 3 << 3) + 3 + 4 * (i == 8) for i, (_, _, f) in enumerate(main_text.lines_of(t, main_text._lower(s))) if i % 2 == 0] for t, s in made]
+    return [p for _, p in main_text.read_pages([t for t, _ in made], [s for _, s in made], codes, reader)]
+
+
+def test_messages_of_many_pages():
+    rng = np.random.default_rng(3)
+    sizes = [4, 0, 1, main_text._LONG + 30, 9, main_text._LONG]
+    at = np.cumsum([0, *sizes])
+    parent = np.array([a + rng.integers(0, i) if i and rng.random() < 0.9 else -1 for a, n in zip(at, sizes) for i in range(n)])
+    edge, node, t = rng.integers(0, 5, at[-1]), rng.normal(0, 3, at[-1]), rng.uniform(0.1, 1, (5, 2, 2))
+    full, joint = main_text.up_down_all(at, parent, edge, node, t)
+    for a, z in itertools.pairwise(at.tolist()):
+        own = [q - a if q >= 0 else -1 for q in parent[a:z].tolist()]
+        want, both = main_text.up_down(own, edge[a:z].tolist(), node[a:z].tolist(), dict(enumerate(t.tolist())), None)
+        assert np.allclose(full[a:z], want, atol=1e-9) and np.allclose(joint[a:z], np.array(both).reshape(-1, 4), atol=1e-9)
+
+
+def test_wording_in_common_against_sets(monkeypatch):
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choice("abcd") for _ in range(rng.randrange(14))) + rng.choice(["", "."])
+    made = [("\n".join(line() for _ in range(rng.randrange(12))), None) for _ in range(60)]
+    monkeypatch.setattr(main_text, "_CHARS", 500)  # several runs of pages
+    reader = main_text.Reader()
+    share, flags = [], []
+    for p in read(made, reader):
+        share += p.overlap.tolist()
+        flags += p.shared.tolist()
+    want, known = [], []
+    for t, _ in made:
+        lines = [main_text._WORD.findall(f) for _, _, f in main_text.lines_of(t, "")]
+        full = [len(w) >= 8 and main_text.is_closed(x) for (_, x, _), w in zip(main_text.lines_of(t, ""), lines)]
+        pairs = [set(zip(w, w[1:])) for w in lines]
+        least = lambda n: {x for s in pairs for x in s if sum(x in q for q, c in zip(pairs, full) if c) >= n}
+        want += [len(s & least(2 if c else 1)) / len(s) if s else 0.0 for s, c in zip(pairs, full)]
+        known += [x in least(2) for w in lines for x in [*zip(w, w[1:]), *[None] * bool(w)]]
+    assert share == want and flags == known and any(flags)
+
+
+@pytest.mark.parametrize("f", ["", "»", "một, hai-ba: bốn.", "tin_tức (mới) 0%", "a\u0301o dài", "½ ² đ/c"])
+def test_words_are_runs_of_letters_and_digits(f):
+    assert main_text.words_of(f) == main_text._WORD.findall(f)
+
+
+def test_forms_of_a_page_are_those_of_its_lines():
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("aΣσςİ19é\u0301Đ\t\r\x0b\x85 .,-_'\n\n@§%½") for _ in range(rng.randrange(30)))
+        source = main_text._lower(rng.choice([None, "a", "1 9", "Σ", "a.", " ", "9"]))
+        lines = main_text.unicodedata.normalize("NFC", text).split("\n")
+        want = [(i, x.strip(), f) for i, x in enumerate(lines) if (f := main_text.form(x, source))]
+        assert main_text.lines_of(text, source) == want
+        assert all(main_text.words_of(f) == main_text._WORD.findall(f) for _, _, f in want)
+
+
+def test_weights_against_dense_descent():
+    rng = random.Random(4)
+    rows = [(tuple(rng.sample("pqrs", rng.randrange(1, 4))), [rng.randrange(9) for _ in range(rng.randrange(6))], rng.randrange(2), rng.choice([1.0, 3.0])) for _ in range(80)]
+    weights, words, bias = main_text._logistic(rows, steps=60)
+    names = [*"pqrs", *range(9)]
+    x = np.array([[r[0].count(n) if n in "pqrs" else 0 for n in "pqrs"] + [r[1].count(n) / math.sqrt(len(r[1]) or 1) for n in range(9)] + [1] for r in rows])
+    y, k = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    w, m, v = np.zeros(14), np.zeros(14), np.zeros(14)
+    for t in range(1, 61):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * k / k.sum()) + 3e-5 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    assert np.allclose([*((weights | words)[n] for n in names), bias], w, atol=1e-9)
+
+
+def test_a_line_has_the_words_of_its_own_source():
+    made = [("Bản tin Sông Mới mỗi sáng", "Sông Mới"), ("Bản tin Sông Mới mỗi sáng", None)]
+    for order in (made, made[::-1]):
+        reader = main_text.Reader()
+        p, names = read(order, reader)[0], list(reader.words)
+        got = {s: [names[w] for w in p.word[a:z]] for (_, s), a, z in zip(order, p.start, p.start[1:])}
+        assert got == {"Sông Mới": ["bản", "tin", "mỗi", "sáng"], None: ["bản", "tin", "sông", "mới", "mỗi", "sáng"]}
+
+
+def test_packed_pages_are_judged_the_same():
+    rng = random.Random(8)
+    reader = main_text.Reader()
+    (p,) = read([*((page(rng, i)[0], "S") for i in range(40)), ("", None), ("»", None)], reader)
+    model, _ = main_text.train([p], reader)
+    ids, got, names = main_text.Pages.unpacked(p.packed(list(range(42)), reader))
+    assert ids.tolist() == list(range(42)) and got.no.tolist() == p.no.tolist() and got.at.tolist() == p.at.tolist()
+    assert model.furniture(got, names).tolist() == model.furniture(p, reader).tolist()
+
+
+def test_training_loops_over_lines_not_over_words():
+    rng = random.Random(8)
+    reader, calls = main_text.Reader(), 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    made = [(page(rng, i)[0], "S") for i in range(300)]
+    sys.setprofile(count)
+    try:
+        batches = read(made, reader)
+        main_text.train(batches, reader)
+    finally:
+        sys.setprofile(None)
+    assert calls / sum(len(p.no) for p in batches) < 120
+
+
+def test_pages_are_read_once_for_training_and_judging(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "S", page(rng, i)[0]) for i in range(30)], "id long, source string, content string")
+    out = main_text.furniture_lines(df)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # no text is joined or parsed again
+
+
 def test_subjects(spark, articles):
     rng = random.Random(9)
     lex = {"law": ["tòa án xét xử", "bị cáo nhận tội", "luật sư bào chữa"], "sport": ["đội bóng ghi bàn", "trọng tài thổi phạt", "khán giả hò reo"], "farming": ["nông dân gặt lúa", "vườn cây trái ngọt", "đàn bò ăn cỏ"]}
