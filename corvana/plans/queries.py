@@ -458,7 +458,7 @@ _PAIRS = _GRAMS + """, e AS (SELECT id, len(grams) AS n, unnest(grams) AS g FROM
 
 
 def _pairs(t):
-    return U.similar_pairs(U.shingles(_texts(t), "id", F.col("x")), "id", 0.85)
+    return U.class_pairs(*U.text_classes(t("articles"), "id", U.shingle_text(F.col("content"), F.col("title")), 0.85))
 
 
 @query("dd3_jaccard_pairs", _PAIRS + " SELECT a, b FROM v WHERE i / (u - i) >= 0.85")

@@ -234,3 +234,37 @@ def test_date_terms():
     terms, weights = S.with_date_terms(["a", "1/5"], {"a": 4.0, "1/5": 3.0}, dt.date(2025, 5, 1))
     assert terms[:2] == ["a", "1/5"] and len(terms) == len(set(terms)) == 7
     assert weights["1/5"] == 3.0 and weights["01-05"] == 2.5 and S.with_date_terms(["a"], {"a": 1.0}, None) == (["a"], {"a": 1.0})
+
+
+def disk():
+    """Bytes of the stored tables."""
+    import pathlib
+
+    from corvana import session
+
+    return sum(p.stat().st_size for _, at in session._MADE for p in pathlib.Path(at.removeprefix("file://")).rglob("*.parquet"))
+
+
+def many_articles(spark, folder, copies=1):
+    """Articles over few phrases, so that all share some; with near copies, a copy by other marks, an id with two texts and one without a word."""
+    rng = random.Random(9)
+    phrases = [" ".join(f"w{rng.randrange(900)}" for _ in range(6)) for _ in range(700)]
+    texts = [[rng.choice(phrases) for _ in range(50)] for _ in range(500)]
+    texts += [t[:20] + ["khác"] + t[21:] for t in texts[:25]] + [t[:25] + [rng.choice(phrases) for _ in range(25)] for t in texts[:25]]
+    rows = [(i, "t", ". ".join(t)) for i, t in enumerate(texts)] * 2
+    rows += [(600 + k, "t", rows[3][2].upper() + "!" * k) for k in range(copies)] + [(7, "t", rows[9][2]), (5000, "một hai ba", ""), (5001, "Một hai ba!", None), (5002, "?!", None)]
+    spark.createDataFrame(rows, "id long, title string, content string").repartition(4).write.parquet(f"{folder}/articles.parquet")
+    words = {(i, c or t): "".join(z for z in (c or t).lower() if z.isalnum() or z == " ").split() for i, t, c in rows}
+    sets = [(i, frozenset(zip(w, w[1:], w[2:]))) for (i, _), w in words.items() if w]
+    pairs = [tuple(sorted((a, b))) for (a, s), (b, t) in itertools.combinations(sets, 2) if a != b and len(s & t) / len(s | t) >= 0.85]
+    return sorted(pairs), sum(len(c or t) for _, t, c in rows)
+
+
+def test_similar_pairs_use_little_disk(spark, tmp_path):
+    from corvana.plans import queries as Q
+
+    want, size = many_articles(spark, tmp_path)
+    before = disk()
+    got = sorted((r["a"], r["b"]) for r in Q.QUERIES["dd3_jaccard_pairs"](spark, str(tmp_path)).collect())
+    assert disk() - before < 0.2 * size
+    assert got == want and len(want) > 25
