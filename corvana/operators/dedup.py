@@ -275,6 +275,14 @@ def dropped_pairwise(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("id")).distinct()
 
 
+def dropped_pairwise_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The same from classes: ids above the smallest one of their class or of a linked class; no pair is made."""
+    low = members.groupBy("cls").agg(F.min("id").alias("low"))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    near = both.join(low, both["b"] == low["cls"]).select(F.col("a").alias("cls"), "low").union(low).groupBy("cls").agg(F.min("low").alias("low"))
+    return members.join(near, "cls").where("id > low").select("id").distinct()
+
+
 def dropped_greedy(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Ids dropped when texts are seen in the order of their ids and compared with the kept ones only.
 

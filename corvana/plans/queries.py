@@ -457,23 +457,23 @@ _PAIRS = _GRAMS + """, e AS (SELECT id, len(grams) AS n, unnest(grams) AS g FROM
     c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.g = y.g AND x.id < y.id), v AS (SELECT a, b, len(list_intersect(x.grams, y.grams)) AS i, len(x.grams) + len(y.grams) AS u FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b)"""
 
 
-def _pairs(t):
-    return U.class_pairs(*U.text_classes(t("articles"), "id", U.shingle_text(F.col("content"), F.col("title")), 0.85))
+def _classes(t):
+    return U.text_classes(t("articles"), "id", U.shingle_text(F.col("content"), F.col("title")), 0.85)
 
 
 @query("dd3_jaccard_pairs", _PAIRS + " SELECT a, b FROM v WHERE i / (u - i) >= 0.85")
 def _(t):
-    return _pairs(t).select("a", "b")
+    return U.class_pairs(*_classes(t)).select("a", "b")
 
 
 @query("dd4_keep_first_pairwise", _PAIRS + " SELECT DISTINCT b AS id FROM v WHERE i / (u - i) >= 0.85")
 def _(t):
-    return U.dropped_pairwise(_pairs(t))
+    return U.dropped_pairwise_classes(*_classes(t))
 
 
 @query("dd4_keep_first_greedy")
 def _(t):
-    return U.dropped_greedy(_pairs(t))
+    return U.dropped_greedy(U.class_pairs(*_classes(t)))
 
 
 # ---- extraction

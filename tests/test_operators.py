@@ -268,3 +268,14 @@ def test_similar_pairs_use_little_disk(spark, tmp_path):
     got = sorted((r["a"], r["b"]) for r in Q.QUERIES["dd3_jaccard_pairs"](spark, str(tmp_path)).collect())
     assert disk() - before < 0.2 * size
     assert got == want and len(want) > 25
+
+
+def test_pairwise_makes_no_pairs(spark, tmp_path, monkeypatch):
+    from corvana.plans import queries as Q
+
+    want, size = many_articles(spark, tmp_path, 300)
+    before = disk()
+    monkeypatch.setattr(U, "class_pairs", None)
+    got = sorted(r["id"] for r in Q.QUERIES["dd4_keep_first_pairwise"](spark, str(tmp_path)).collect())
+    assert disk() - before < 0.2 * size
+    assert got == sorted({b for _, b in want}) and len(want) > 45_000
