@@ -301,3 +301,15 @@ def dropped_greedy(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError("keep-first did not settle")
     return gone if gone is not None else pairs.select(F.col("b").alias("id")).limit(0)
+
+
+def dropped_greedy_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The same from classes: copies of a class's first text go with it or with what drops it, so they need no pairs.
+
+    Only where the first id of a class has another text in another class are its copies compared one by one."""
+    several = members.groupBy("id").agg(F.countDistinct("cls").alias("n")).where("n > 1").select("id")
+    low = members.groupBy("cls").agg(F.min("id").alias("low"))
+    first = low.join(several.withColumnRenamed("id", "low"), "low", "left_anti")
+    copies = stored(members.join(first, "cls").where("id > low").select("id").distinct(), "copies")
+    rest = members.join(copies, "id", "left_anti")
+    return copies.union(dropped_greedy(class_pairs(rest, links)))

@@ -473,7 +473,7 @@ def _(t):
 
 @query("dd4_keep_first_greedy")
 def _(t):
-    return U.dropped_greedy(U.class_pairs(*_classes(t)))
+    return U.dropped_greedy_classes(*_classes(t))
 
 
 # ---- extraction

@@ -279,3 +279,25 @@ def test_pairwise_makes_no_pairs(spark, tmp_path, monkeypatch):
     got = sorted(r["id"] for r in Q.QUERIES["dd4_keep_first_pairwise"](spark, str(tmp_path)).collect())
     assert disk() - before < 0.2 * size
     assert got == sorted({b for _, b in want}) and len(want) > 45_000
+
+
+def test_greedy_makes_few_pairs(spark, tmp_path, monkeypatch):
+    from corvana.plans import queries as Q
+
+    want, _ = many_articles(spark, tmp_path, 300)
+    seen, plain = [], U.dropped_greedy
+    monkeypatch.setattr(U, "dropped_greedy", lambda pairs: seen.append(pairs.count()) or plain(pairs))
+    got = sorted(r["id"] for r in Q.QUERIES["dd4_keep_first_greedy"](spark, str(tmp_path)).collect())
+    gone = set()
+    for a, b in sorted(want, key=lambda p: p[::-1]):  # all pairs of an earlier b come first
+        if a not in gone:
+            gone.add(b)
+    assert got == sorted(gone)
+    assert seen[0] < 100 and len(want) > 45_000
+
+
+def test_greedy_where_an_id_has_two_texts(spark):
+    members = spark.createDataFrame([(5, 1), (9, 1), (3, 2), (5, 2), (7, 3), (8, 3), (11, 4)], "id long, cls long")
+    links = spark.createDataFrame([(3, 4, 0.9)], "a long, b long, jaccard double")
+    assert sorted(r["id"] for r in U.dropped_greedy_classes(members, links).collect()) == [5, 8, 11]
+    assert sorted(r["id"] for r in U.dropped_pairwise_classes(members, links).collect()) == [5, 8, 9, 11]
